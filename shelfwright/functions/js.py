@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,19 @@ from pyspark.sql import types as T
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once and named, however often the body uses it.
+
+    Expressions are trees: without this, a large value used n times is planned and run n times.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def first_nonempty(*arrays: Column) -> Column:
+    """The first of the arrays that has elements; null when none has."""
+    return F.get(F.filter(F.array(*arrays), lambda a: F.size(a) > 0), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -78,15 +93,25 @@ def fixed_percent(part: Column, whole: Column) -> Column:
 
 def distinct_by(arr: Column, key) -> Column:
     """Elements of ``arr`` whose ``key`` did not occur earlier, in order."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def kept(a: Column) -> Column:
+        return let(
+            F.transform(a, lambda x: key(x)),
+            lambda keys: F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1),
+        )
+
+    return let(arr, kept)
 
 
 def last_wins_map(entries: Column) -> Column:
     """Map from key/value structs; the last value of a repeated key counts."""
-    keys = F.transform(entries, lambda e: e["key"])
-    n = F.size(entries)
-    kept = F.filter(
-        entries, lambda e, i: F.array_position(F.reverse(keys), e["key"]) == n - i
-    )
-    return F.map_from_entries(kept)
+
+    def kept(es: Column) -> Column:
+        return let(
+            F.reverse(F.transform(es, lambda e: e["key"])),
+            lambda keys: F.filter(
+                es, lambda e, i: F.array_position(keys, e["key"]) == F.size(es) - i
+            ),
+        )
+
+    return F.map_from_entries(let(entries, kept))

@@ -112,12 +112,13 @@ def closest(page: Column, selector: str, n: Column) -> Column:
         F.concat(n["anc"], F.array(n["i"])),
         lambda a: matches(selector, nodes, F.get(nodes, a)),
     )
-    return F.get(nodes, F.try_element_at(hits, F.lit(-1)))
+    return js.let(F.try_element_at(hits, F.lit(-1)), lambda at: F.get(nodes, at))
 
 
 def next_sibling(page: Column, n: Column) -> Column:
-    after = F.get(page["nodes"], n["last"] + 1)
-    return F.when(after["prev"] == n["i"], after)
+    return js.let(
+        F.get(page["nodes"], n["last"] + 1), lambda s: F.when(s["prev"] == n["i"], s)
+    )
 
 
 def first_hits(page: Column, selectors: list[str]) -> Column:
@@ -126,21 +127,25 @@ def first_hits(page: Column, selectors: list[str]) -> Column:
 
 
 def raw_text(page: Column, n: Column) -> Column:
-    return F.substr(page["text"], n["t0"] + 1, n["t1"] - n["t0"])
+    return js.let(n, lambda x: F.substr(page["text"], x["t0"] + 1, x["t1"] - x["t0"]))
 
 
 def node_text(page: Column, n: Column) -> Column:
     return js.trim(raw_text(page, n))
 
 
+def _not_blank(c: Column) -> Column:
+    return js.let(c, lambda t: F.when(t != "", t))
+
+
 def select_text(page: Column, selector: str, within: Column | None = None) -> Column:
     """Trimmed text of the first match; null when there is none or it is empty."""
-    return js.blank_to_null(node_text(page, F.get(select(page, selector, within), F.lit(0))))
+    return _not_blank(node_text(page, F.get(select(page, selector, within), F.lit(0))))
 
 
 def select_attr(page: Column, selector: str, attr: str, within: Column | None = None) -> Column:
     first = F.get(select(page, selector, within), F.lit(0))
-    return js.blank_to_null(first["attrs"][attr])
+    return _not_blank(first["attrs"][attr])
 
 
 def select_texts(page: Column, selector: str, within: Column | None = None) -> Column:

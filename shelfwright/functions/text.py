@@ -25,9 +25,12 @@ def parse_price(c: Column) -> Column:
         F.regexp_extract_all(c, F.lit(r"(\$[\d,]+\.?\d*)"), F.lit(1)),
         lambda m: F.coalesce(F.regexp_replace(m, "[$,]", "").try_cast("double"), F.lit(0.0)),
     )
-    return F.struct(
-        F.coalesce(F.get(amounts, F.lit(0)), F.lit(0.0)).alias("regular"),
-        F.get(amounts, F.lit(1)).alias("sale"),
+    return js.let(
+        amounts,
+        lambda a: F.struct(
+            F.coalesce(F.get(a, F.lit(0)), F.lit(0.0)).alias("regular"),
+            F.get(a, F.lit(1)).alias("sale"),
+        ),
     )
 
 
@@ -101,14 +104,17 @@ def infer_brand(name: Column, brands: list[str] | None = None) -> Column:
     test over all brands comes first, because most names hold none of them.
     """
     words = list(dict.fromkeys(brands or K.BRANDS))
-    upper = F.upper(name)
 
     def pattern(word: str) -> str:
         return rf"\b{re.escape(word.upper())}\b"
 
     any_brand = "|".join(pattern(w) for w in words)
-    found = F.coalesce(*[F.when(upper.rlike(pattern(w)), F.lit(w)) for w in words])
-    return F.when(upper.rlike(any_brand), found)
+
+    def found(upper: Column) -> Column:
+        each = [F.when(upper.rlike(pattern(w)), F.lit(w)) for w in words]
+        return F.when(upper.rlike(any_brand), F.coalesce(*each))
+
+    return js.let(F.upper(name), found)
 
 
 def sku_from_text(c: Column) -> Column:
@@ -127,8 +133,7 @@ def _words(c: Column, words: list[str]) -> Column:
     hits = F.regexp_extract_all(
         F.coalesce(c, F.lit("")), F.lit(rf"(?i)\b({'|'.join(words)})\b"), F.lit(1)
     )
-    distinct = F.array_distinct(F.transform(hits, F.lower))
-    return F.when(F.size(distinct) > 0, distinct)
+    return js.first_nonempty(F.array_distinct(F.transform(hits, F.lower)))
 
 
 def extract_compatibility(c: Column) -> Column:

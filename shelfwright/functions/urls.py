@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwright import constants as K
+from shelfwright.functions import js
 
 _ABSOLUTE = r"(?s)^[\s\x00]*([\w+.\-]{2,}:)?//([^/@]+@)?([^#/?]*)([^#?]*)(\?[^#]*)?(#.*)?$"
 _RELATIVE = r"(?s)^([^#?]*)(\?[^#]*)?(#.*)?$"
@@ -250,42 +251,34 @@ def _ascii(text: Column) -> Column:
 
 def page_href(page_url: Column, href: Column) -> Column:
     """What a link on a page points to: ``href`` resolved against the page address."""
-    folder = F.regexp_extract(url_path(page_url), "(?s)^(.*/)", 1)
-    resolved = (
-        F.when(has_protocol(href), href)
-        .when(href.startswith("//"), F.concat(url_protocol(page_url), href))
-        .when(href.startswith("/"), F.concat(url_origin(page_url), href))
-        .when(href.startswith("?"), F.concat(url_origin(page_url), url_path(page_url), href))
-        .when(
-            (href == "") | href.startswith("#"),
-            F.concat(F.regexp_replace(page_url, "(?s)#.*$", ""), href),
-        )
-        .otherwise(
-            F.concat(
-                url_origin(page_url),
-                F.when(folder == "", F.lit("/")).otherwise(folder),
-                href,
+
+    def resolved(h: Column) -> Column:
+        folder = F.regexp_extract(url_path(page_url), "(?s)^(.*/)", 1)
+        return (
+            F.when(has_protocol(h), h)
+            .when(h.startswith("//"), F.concat(url_protocol(page_url), h))
+            .when(h.startswith("/"), F.concat(url_origin(page_url), h))
+            .when(h.startswith("?"), F.concat(url_origin(page_url), url_path(page_url), h))
+            .when(
+                (h == "") | h.startswith("#"),
+                F.concat(F.regexp_replace(page_url, "(?s)#.*$", ""), h),
+            )
+            .otherwise(
+                F.concat(
+                    url_origin(page_url), F.when(folder == "", F.lit("/")).otherwise(folder), h
+                )
             )
         )
-    )
-    return F.coalesce(web_href(resolved), resolved)
 
+    return js.let(js.let(href, resolved), lambda r: F.coalesce(web_href(r), r))
 
-def web_href(url: Column) -> Column:
-    """An absolute URL in normal form, or null where the text is no URL.
 
-    Covers scheme and host case, default ports, an empty path, back slashes, blanks, non-ASCII
-    text and dot segments of web URLs; other schemes keep their text.
-    """
-    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
-    web = r"(?is)^(https?):[/\\]*([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
-    scheme = F.lower(F.regexp_extract(text, web, 1))
-    host = F.lower(F.regexp_extract(text, web, 2))
-    port = F.when(scheme == "http", F.lit(":80$")).otherwise(F.lit(":443$"))
-    host = F.regexp_replace(F.regexp_replace(host, port, F.lit("")), ":$", "")
-    path = F.translate(F.regexp_extract(text, web, 3), "\\", "/")
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    last = F.element_at(segments, -1)
+_WEB = r"(?is)^(https?):[/\\]*([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
+_OTHER = r"(?is)^(?!https?:)[a-z][a-z0-9+.\-]*:"
+
+
+def _fold_dots(path: Column) -> Column:
+    """A path, without its first slash, after its ``.`` and ``..`` segments are worked off."""
 
     def walk(acc: Column, seg: Column) -> Column:
         return (
@@ -294,20 +287,44 @@ def web_href(url: Column) -> Column:
             .otherwise(F.concat(acc, F.array(seg)))
         )
 
-    folded = F.aggregate(segments, F.array().cast("array<string>"), walk)
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    clean = F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(folded, "/")).otherwise(
-        F.regexp_replace(path, "^/", "")
-    )
-    tail = F.concat(
-        F.regexp_extract(text, web, 4), F.regexp_extract(text, web, 5)
-    )
-    rest = _ascii(F.replace(F.concat(clean, tail), F.lit(" "), F.lit("%20")))
-    built = F.concat(scheme, F.lit("://"), host, F.lit("/"), rest)
-    other = r"(?is)^(?!https?:)[a-z][a-z0-9+.\-]*:"
-    bad_host = host.rlike(r"[\s<>^|%\[\]]") | (host == "")
-    return (
-        F.when(text.rlike(web) & ~bad_host, built)
-        .when(text.rlike(other), text)
-        .otherwise(F.lit(None).cast("string"))
-    )
+    def fold(segments: Column) -> Column:
+        folded = F.aggregate(segments, F.array().cast("array<string>"), walk)
+        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+        tail = F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(folded, tail), "/")
+
+    bare = F.regexp_replace(path, "^/", "")
+    return F.when(
+        path.rlike(r"(^|/)\.\.?(/|$)"), js.let(F.split(bare, "/"), fold)
+    ).otherwise(bare)
+
+
+def web_href(url: Column) -> Column:
+    """An absolute URL in normal form, or null where the text is no URL.
+
+    Covers scheme and host case, default ports, an empty path, back slashes, blanks, non-ASCII
+    text and dot segments of web URLs; other schemes keep their text.
+    """
+
+    def build(t: Column, scheme: Column, host: Column, path: Column) -> Column:
+        tail = F.concat(F.regexp_extract(t, _WEB, 4), F.regexp_extract(t, _WEB, 5))
+        rest = F.replace(F.concat(_fold_dots(path), tail), F.lit(" "), F.lit("%20"))
+        port = F.when(scheme == "http", F.lit(":(80)?$")).otherwise(F.lit(":(443)?$"))
+        return F.when(
+            ~host.rlike(r"[\s<>^|%\[\]]"),
+            F.concat(
+                scheme, F.lit("://"), F.regexp_replace(host, port, F.lit("")), F.lit("/"),
+                js.let(rest, _ascii),
+            ),
+        )
+
+    def of_text(t: Column) -> Column:
+        parts = F.struct(
+            F.lower(F.regexp_extract(t, _WEB, 1)).alias("scheme"),
+            F.lower(F.regexp_extract(t, _WEB, 2)).alias("host"),
+            F.translate(F.regexp_extract(t, _WEB, 3), "\\", "/").alias("path"),
+        )
+        web = js.let(parts, lambda p: build(t, p["scheme"], p["host"], p["path"]))
+        return F.when(t.rlike(_WEB), web).when(t.rlike(_OTHER), t)
+
+    return js.let(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", ""), of_text)

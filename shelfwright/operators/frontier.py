@@ -130,17 +130,18 @@ def apply_failures(
     now = _time(as_of)
     delay = F.lit(retry_delay_ms) * F.pow(F.lit(2.0), F.col("retry_count"))
     due = F.timestamp_millis(F.unix_millis(now) + delay.cast("bigint"))
-    return (
-        joined.withColumn("metadata", _note(final, "error", F.col("_error")))
-        .withColumn("scheduled_at", F.when(again, due).otherwise(F.col("scheduled_at")))
-        .withColumn("retried_at", F.when(again, now).otherwise(F.col("retried_at")))
-        .withColumn(
-            "status",
-            F.when(again, F.lit("pending")).when(final, F.lit("failed")).otherwise(F.col("status")),
-        )
-        .withColumn("retry_count", F.col("retry_count") + F.when(again, 1).otherwise(0))
-        .select(*frontier.columns)
-    )
+    # One step, as every expression reads the state before the failure.
+    return joined.withColumns(
+        {
+            "metadata": _note(final, "error", F.col("_error")),
+            "scheduled_at": F.when(again, due).otherwise(F.col("scheduled_at")),
+            "retried_at": F.when(again, now).otherwise(F.col("retried_at")),
+            "status": F.when(again, F.lit("pending"))
+            .when(final, F.lit("failed"))
+            .otherwise(F.col("status")),
+            "retry_count": F.col("retry_count") + F.when(again, 1).otherwise(0),
+        }
+    ).select(*frontier.columns)
 
 
 def apply_completions(frontier: DataFrame, done: DataFrame) -> DataFrame:
@@ -149,11 +150,12 @@ def apply_completions(frontier: DataFrame, done: DataFrame) -> DataFrame:
         done.select("id", F.col("result").alias("_result"), F.lit(True).alias("_done")), "id", "left"
     )
     hit = F.coalesce((F.col("status") == "processing") & F.col("_done"), F.lit(False))
-    return (
-        joined.withColumn("metadata", _note(hit, "result", F.col("_result").cast("string")))
-        .withColumn("status", F.when(hit, F.lit("completed")).otherwise(F.col("status")))
-        .select(*frontier.columns)
-    )
+    return joined.withColumns(
+        {
+            "metadata": _note(hit, "result", F.col("_result").cast("string")),
+            "status": F.when(hit, F.lit("completed")).otherwise(F.col("status")),
+        }
+    ).select(*frontier.columns)
 
 
 def frontier_stats(frontier: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def write_products_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
-        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSX")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
