@@ -166,7 +166,8 @@ def join_url(base: Column, path: Column) -> Column:
     tail = F.regexp_replace(path, r"^\.?/", "")
     joined = F.concat(F.regexp_replace(base, "/$", ""), F.lit("/"), tail)
     return (
-        F.when(F.coalesce(path, F.lit("")).isin("", "/"), base)
+        F.when(path.isNull(), F.lit(None).cast("string"))
+        .when(path.isin("", "/"), base)
         .when(F.coalesce(base, F.lit("")) == "", path)
         .otherwise(joined)
     )

@@ -14,6 +14,27 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over all cores when it has fewer splits than that.
+
+    For steps that do much work per byte. A large input has more splits than cores and is read as
+    it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hashed by a key into the session's full number of shuffle partitions.
+
+    A grouping on the key that follows needs no shuffle of its own, and its partitions are not
+    merged for being small in bytes, which suits steps that do much work per byte.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, spark.sparkContext.defaultParallelism), key)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its size is proven small, else unchanged (shuffle join)."""
     return F.broadcast(df) if is_small(df, max_rows) else df

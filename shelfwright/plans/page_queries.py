@@ -13,6 +13,7 @@ from shelfwright.operators.adapters.shopify import (
     ShopifyAdapter, page_description, page_in_stock, page_variants, raw_images, raw_variants,
 )
 from shelfwright.operators.html import parse_pages
+from shelfwright.operators.lookup import spread_by, spread_scan
 from shelfwright.operators.normalize import normalize_products
 from shelfwright.operators.validate import validated
 from shelfwright.plans.derive import AS_OF, money_text
@@ -34,8 +35,8 @@ def _decode(c: str) -> str:
 
 
 @query(f"""
-SELECT page_id, {_decode("regexp_extract(html, '<title>([^<]*)', 1)")} AS title,
-  {_decode("regexp_extract(html, '<h1>([^<]*)', 1)")} AS heading,
+SELECT page_id, trim({_decode("regexp_extract(html, '<title>([^<]*)', 1)")}) AS title,
+  trim({_decode("regexp_extract(html, '<h1>([^<]*)', 1)")}) AS heading,
   array_to_string(regexp_extract_all(regexp_extract(html, '<nav>.*</nav>'), 'href="([^"]*)"', 1), '|') AS links,
   array_to_string(regexp_extract_all(regexp_extract(html, '<nav>.*</nav>'), '">([^<]+)</a>', 1), '|') AS labels
 FROM pages
@@ -141,7 +142,7 @@ def shopify_pages(spark, sf):
         "<tr><td>Type</td><td>", F.col("p_type"), "</td></tr><tr><td>Lone</td></tr></table>", described,
         "<button>XL</button><p>SKU: K", key, "</p></body></html>",
     )
-    return table(spark, sf, "part").select(
+    return spread_scan(table(spark, sf, "part")).select(
         "p_partkey", "p_size",
         _join("https://acme.example.com/products/part-", key, "?ref=feed").alias("url"),
         F.lit("acme").alias("site"),
@@ -154,7 +155,7 @@ SELECT p_partkey, 'acme-K' || p_partkey AS id, 'Shoei ' || p_name AS name,
   CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'Shoei' END AS brand, 'K' || p_partkey AS sku,
   p_type AS category, p_retailprice AS regular,
   CASE WHEN p_size % 3 = 0 THEN floor(p_retailprice / 2 * 100 + 0.5) / 100 END AS sale,
-  CASE WHEN p_size % 3 = 0 THEN 50 END AS discount, p_size % 5 > 0 AS in_stock,
+  CASE WHEN p_size % 3 = 0 THEN 50 END::DOUBLE AS discount, p_size % 5 > 0 AS in_stock,
   'size:Small $5.50:5.5|size:Large:0.0|size:XL:0.0' AS variants,
   'https://acme.example.com//cdn.shop.example.com/product-' || p_partkey || '.jpg|https://acme.example.com/helmet-'
     || p_partkey || '.png' AS images,
@@ -277,7 +278,7 @@ def mcas_pages(spark, sf):
         '<p class="certifications">ECE 22.05, dot and AS/NZS 1698</p>'
         '<p class="fits">Honda motorcycle, honda bike</p></div></body>',
     )
-    return table(spark, sf, "part").select(
+    return spread_scan(table(spark, sf, "part")).select(
         "p_partkey",
         _join("https://mega.example.com/product/part-", key, "?x=1").alias("url"),
         F.lit("mega").alias("site"),
@@ -347,7 +348,7 @@ def generic_pages(spark, sf):
     body = F.when(size % 3 == 0, structured).when(size % 3 == 1, loose).otherwise(
         F.lit("<p>nothing here</p>")
     )
-    return table(spark, sf, "part").select(
+    return spread_scan(table(spark, sf, "part")).select(
         "p_partkey",
         _join("https://other.example.com/item/part-", key).alias("url"),
         F.lit("other").alias("site"),
@@ -409,7 +410,7 @@ def listing_pages(spark, sf):
         F.col("l_linenumber").alias("a"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("c"),
         F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("e"),
     )
-    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+    lists = spread_by(table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(line)).alias("lines")
     )
     style = F.col("l_orderkey") % 3
@@ -419,8 +420,8 @@ def listing_pages(spark, sf):
             "lines",
             lambda x: F.concat(
                 F.lit('<div class="product-grid-item product-item"><a href="/'), word, F.lit("/part-"),
-                x["part"].cast("string"), F.lit('?utm_source=grid"><img src="https://x.example.com/'),
-                x["part"].cast("string"), F.lit('.jpg"></a><div class="product-name">Part '),
+                x["part"].cast("string"), F.lit('?utm_source=grid"><i class="product-image"><img src="https://x.example.com/'),
+                x["part"].cast("string"), F.lit('.jpg"></i></a><div class="product-name">Part '),
                 x["part"].cast("string"), F.lit('</div><span class="brand-name">Acme</span>'),
                 F.lit('<span class="current-price price">'), money_text(x["price"]), F.lit("</span></div>"),
             ),

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture costs more than building the large page expressions themselves.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwright import schemas
+from shelfwright.operators.lookup import spread_scan
 from shelfwright.operators.relational import TABLES, flatten_for_csv, to_relational
 
 
@@ -71,14 +72,8 @@ def read_relational(spark: SparkSession, directory: str) -> dict[str, DataFrame]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages (page_id, url, html).
-
-    Parsing is heavy, so an input of fewer splits than cores is spread out first. A large input
-    has more splits than that and is read as it lies, without a shuffle.
-    """
-    pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    """Fetched pages (page_id, url, html), over all cores, as parsing them is heavy."""
+    return spread_scan(spark.read.parquet(path))
 
 
 def store_products(
