@@ -318,7 +318,7 @@ walk AS (
 
 @query(f"""
 WITH RECURSIVE {BUCKET_SQL}
-SELECT id, site, round(before / 120000000.0::DOUBLE, 6) AS tokens, before >= 120000000 AS admitted,
+SELECT id, site, before AS level, before >= 120000000 AS admitted,
   CASE WHEN before >= 120000000 THEN 0
     ELSE floor(greatest((120000000 - before) / 33.0::DOUBLE, 2000)) END AS wait_ms
 FROM walk
@@ -328,20 +328,20 @@ def token_bucket(spark, sf):
         requests_of_events(spark, sf), event_buckets(spark, sf), slice_ms=24 * HOUR
     )
     return tagged.select(
-        "id", "site", F.round("tokens", 6).alias("tokens"), "admitted",
+        "id", "site", F.round(F.col("tokens") * rate.UNITS).cast("bigint").alias("level"), "admitted",
         F.floor("wait_ms").cast("double").alias("wait_ms"),
     )
 
 
 @query(f"""
 WITH RECURSIVE {BUCKET_SQL}, ends AS (SELECT site, arg_max(before, n) AS b FROM walk GROUP BY site)
-SELECT site, round((b - CASE WHEN b >= 120000000 THEN 120000000 ELSE 0 END) / 120000000.0::DOUBLE, 6) AS tokens
+SELECT site, b - CASE WHEN b >= 120000000 THEN 120000000 ELSE 0 END AS level
 FROM ends
 """)
 def token_bucket_status(spark, sf):
     requests, params = requests_of_events(spark, sf), event_buckets(spark, sf)
     slices = rate.bucket_slices(requests, params, slice_ms=24 * HOUR)
-    return rate.bucket_status(slices, params).select("site", F.round("tokens", 6).alias("tokens"))
+    return rate.bucket_status(slices, params).select("site", "level")
 
 
 _METRIC_SQL = """
