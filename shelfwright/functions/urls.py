@@ -110,23 +110,24 @@ def query_entries(search: Column) -> Column:
 
 def query_string(entries: Column) -> Column:
     """``?k=v&k=v`` in form encoding, or '' without entries."""
-    joined = F.array_join(
-        F.transform(
-            entries,
-            lambda e: F.concat(F.url_encode(e["k"]), F.lit("="), F.url_encode(e["v"])),
-        ),
-        "&",
+    pairs = F.transform(
+        entries,
+        lambda e: F.concat(F.url_encode(e["k"]), F.lit("="), F.url_encode(e["v"])),
+    )
+    # An entry is never empty text, so only an empty list leaves the bare mark.
+    return F.regexp_replace(F.concat(F.lit("?"), F.array_join(pairs, "&")), r"^\?$", "")
+
+
+def _without_tracking(search: Column) -> Column:
+    return query_string(
+        F.filter(query_entries(search), lambda e: ~e["k"].isin(K.TRACKING_PARAMS))
     )
-    return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
 
 
 def strip_tracking(url: Column) -> Column:
     """Drop tracking parameters; a URL without a query comes back unchanged."""
-    kept = F.filter(
-        query_entries(url_search(url)), lambda e: ~e["k"].isin(K.TRACKING_PARAMS)
-    )
     return F.when(url_search(url) == "", url).otherwise(
-        F.concat(_before_search(url), query_string(kept), url_hash(url))
+        F.concat(_before_search(url), _without_tracking(url_search(url)), url_hash(url))
     )
 
 
@@ -178,9 +179,18 @@ def resolve_url(base: Column, url: Column) -> Column:
 
 
 def normalize_url(url: Column, base: Column) -> Column:
-    return F.when(has_protocol(url), single_slashes(strip_tracking(url))).otherwise(
-        join_url(base, url)
+    """Absolute: without tracking parameters and repeated slashes. Relative: joined to the base."""
+    # The general strip_tracking also covers relative URLs; here a few parts are enough.
+    text = _slashes(url)
+    head = r"(?s)^[\s\x00]*([\w+.\-]{2,}:)?(//(?:[^/@]+@)?[^#?]*)"
+    stripped = F.concat(
+        F.lower(F.regexp_extract(text, head, 1)),
+        F.regexp_extract(text, head, 2),
+        _without_tracking(F.regexp_extract(text, _ABSOLUTE, 5)),
+        F.regexp_extract(text, _ABSOLUTE, 6),
     )
+    clean = F.when(url.rlike(r"^[^#]*\?"), stripped).otherwise(url)
+    return F.when(has_protocol(url), single_slashes(clean)).otherwise(join_url(base, url))
 
 
 def with_query(url: Column, params: Mapping[str, Column | str]) -> Column:

@@ -172,8 +172,13 @@ def performance_report(
         F.count_if(F.col("type") == "image_failure").alias("image_failures"),
     )
     total = shown.filter("is_total").drop("site", "is_total", "last_success", "last_failure")
-    # Each side is one aggregate row.
-    summary = total.join(recent.select("requests_per_minute")).join(troubles)
+    nothing = {
+        "requests": 0, "success_rate": "0%", "avg_response_time": "0ms", "data_extracted": 0,
+    }
+    # Each side is one aggregate row; an empty log has no total row.
+    summary = (
+        recent.select("requests_per_minute").join(total, F.lit(True), "left").fillna(nothing)
+    ).join(troubles)
     return {
         "summary": summary,
         "site_breakdown": shown.filter("NOT is_total").drop("is_total", "data_extracted"),
