@@ -105,10 +105,10 @@ def infer_brand(name: Column, brands: list[str] | None = None) -> Column:
     """
     words = list(dict.fromkeys(brands or K.BRANDS))
 
-    def pattern(word: str) -> str:
-        return rf"\b{re.escape(word.upper())}\b"
+    def pattern(*names: str) -> str:
+        return rf"\b(?:{'|'.join(re.escape(n.upper()) for n in names)})\b"
 
-    any_brand = "|".join(pattern(w) for w in words)
+    any_brand = pattern(*words)
 
     def found(upper: Column) -> Column:
         each = [F.when(upper.rlike(pattern(w)), F.lit(w)) for w in words]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwright.operators.normalize import normalize_products
-from shelfwright.plans.registry import table
+from shelfwright.plans.registry import busy_table, table
 
 AS_OF = "2025-01-15 10:00:00"
 SITE = "acme"
@@ -35,7 +35,7 @@ def raw_parts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("https://img.example.com/big/part "), key, F.lit(".png")),
         F.lit("not an address"),
     )
-    return table(spark, sf, "part").select(
+    return busy_table(spark, sf, "part").select(
         "p_partkey",
         "p_size",
         F.when(~unnamed & (k % 7 != 3), F.col("p_name")).alias("name"),

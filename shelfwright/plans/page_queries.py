@@ -13,11 +13,11 @@ from shelfwright.operators.adapters.shopify import (
     ShopifyAdapter, page_description, page_in_stock, page_variants, raw_images, raw_variants,
 )
 from shelfwright.operators.html import parse_pages
-from shelfwright.operators.lookup import spread_by, spread_scan
+from shelfwright.operators.lookup import spread_by
 from shelfwright.operators.normalize import normalize_products
 from shelfwright.operators.validate import validated
 from shelfwright.plans.derive import AS_OF, money_text
-from shelfwright.plans.registry import query, table
+from shelfwright.plans.registry import busy_table, query, table
 from shelfwright.plans.store_queries import scratch
 from shelfwright.sources.products import read_pages
 
@@ -113,6 +113,14 @@ def _join(*parts):
     return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
+def _present(record):
+    """The record as a row of its own, no row for null.
+
+    A filter on the record would be pushed below the projection and extract every page twice.
+    """
+    return F.explode(F.array_compact(F.array(record)))
+
+
 # --- product pages written from parts ------------------------------------------------------------
 
 
@@ -142,7 +150,7 @@ def shopify_pages(spark, sf):
         "<tr><td>Type</td><td>", F.col("p_type"), "</td></tr><tr><td>Lone</td></tr></table>", described,
         "<button>XL</button><p>SKU: K", key, "</p></body></html>",
     )
-    return spread_scan(table(spark, sf, "part")).select(
+    return busy_table(spark, sf, "part").select(
         "p_partkey", "p_size",
         _join("https://acme.example.com/products/part-", key, "?ref=feed").alias("url"),
         F.lit("acme").alias("site"),
@@ -168,8 +176,8 @@ FROM part
 def extract_shopify(spark, sf):
     reader = ShopifyAdapter({}, {}, F.col("site"), F.lit("https://acme.example.com"))
     product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(shopify_pages(spark, sf)).select("p_partkey", product.alias("p"))
-    return found.filter("p IS NOT NULL").select(
+    found = parsed(shopify_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.category", "p.price.regular", "p.price.sale",
         F.col("p.price.discount_percentage").alias("discount"), "p.availability.in_stock",
         F.array_join(
@@ -209,9 +217,9 @@ def extract_raw_shopify(spark, sf):
     """Raw records of product pages, then the normaliser."""
     reader = ShopifyAdapter({}, {}, F.col("site"), F.lit("https://acme.example.com"))
     raw = parsed(shopify_pages(spark, sf)).select(
-        "p_partkey", reader.extract_raw(F.col("url"), F.col("page")).alias("r")
+        "p_partkey", _present(reader.extract_raw(F.col("url"), F.col("page"))).alias("r")
     )
-    records = raw.filter("r IS NOT NULL").select("p_partkey", "r.*")
+    records = raw.select("p_partkey", "r.*")
     products = normalize_products(
         # Two dollar amounts would run together in the numeric price.
         records.withColumn("price", F.regexp_extract("price", r"^(\S+)", 1)), "acme", AS_OF, ["p_partkey"]
@@ -278,7 +286,7 @@ def mcas_pages(spark, sf):
         '<p class="certifications">ECE 22.05, dot and AS/NZS 1698</p>'
         '<p class="fits">Honda motorcycle, honda bike</p></div></body>',
     )
-    return spread_scan(table(spark, sf, "part")).select(
+    return busy_table(spark, sf, "part").select(
         "p_partkey",
         _join("https://mega.example.com/product/part-", key, "?x=1").alias("url"),
         F.lit("mega").alias("site"),
@@ -302,8 +310,8 @@ FROM part
 def extract_mcas(spark, sf):
     reader = McasAdapter({}, {}, F.col("site"), F.lit("https://mega.example.com"))
     product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(mcas_pages(spark, sf)).select("p_partkey", product.alias("p"))
-    return found.filter("p IS NOT NULL").select(
+    found = parsed(mcas_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.category", "p.price.regular", "p.price.sale",
         "p.availability.in_stock", F.col("p.availability.quantity").cast("int").alias("quantity"),
         "p.availability.stock_status",
@@ -348,7 +356,7 @@ def generic_pages(spark, sf):
     body = F.when(size % 3 == 0, structured).when(size % 3 == 1, loose).otherwise(
         F.lit("<p>nothing here</p>")
     )
-    return spread_scan(table(spark, sf, "part")).select(
+    return busy_table(spark, sf, "part").select(
         "p_partkey",
         _join("https://other.example.com/item/part-", key).alias("url"),
         F.lit("other").alias("site"),
@@ -372,8 +380,8 @@ FROM part WHERE p_size % 3 < 2
 def extract_generic(spark, sf):
     reader = GenericAdapter({}, {}, F.col("site"), F.lit("https://other.example.com"))
     product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(generic_pages(spark, sf)).select("p_partkey", product.alias("p"))
-    return found.filter("p IS NOT NULL").select(
+    found = parsed(generic_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.price.regular", "p.price.sale",
         "p.availability.in_stock",
         F.array_join("p.images", "|").alias("images"),

@@ -10,7 +10,7 @@ from shelfwright.operators import dedup, normalize, validate
 from shelfwright.plans.derive import (
     LINES_SQL, RAW_SQL, normalized_parts, order_products, raw_parts,
 )
-from shelfwright.plans.registry import query, table
+from shelfwright.plans.registry import busy_table, query, table
 
 FLAT = [
     "id", "name", "brand", "sku", "category", "price.regular", "price.sale", "price.currency",
@@ -178,7 +178,7 @@ SELECT doc_id, {tidy('text')} AS tidy, {kebab("source || ' & ' || lang || ' -Co'
 FROM documents
 """)
 def text_normalize(spark, sf):
-    raw = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("desc"))
+    raw = busy_table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("desc"))
     short = normalize.normalize_description(normalize._Raw(raw))["short"]
     return raw.select(
         "doc_id",
@@ -318,7 +318,7 @@ def product_clean_lists(spark, sf):
     )
     specs = validate.clean_specs(F.map_from_entries(pairs))
     marks = F.array(F.col("lang"), F.lit(" ce "), F.lit("CE"), F.lit("  "))
-    return table(spark, sf, "documents").select(
+    return busy_table(spark, sf, "documents").select(
         "doc_id",
         F.md5(js.collapse_space(F.col("text"))).alias("digest"),
         F.array_join(
@@ -553,7 +553,7 @@ def text_brand_and_sku(spark, sf):
         F.coalesce(head, F.lit("")), "text", F.lit(" SKU: A"), F.col("doc_id").cast("string"),
         F.lit(" CE"),
     )
-    return table(spark, sf, "documents").select("doc_id", told.alias("t")).select(
+    return busy_table(spark, sf, "documents").select("doc_id", told.alias("t")).select(
         "doc_id",
         text.infer_brand(F.col("t")).alias("brand"),
         text.sku_from_text(F.col("t")).alias("sku"),
@@ -594,7 +594,7 @@ def text_marks(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, F.lit(" CE ce")).otherwise(F.lit("")),
     )
     fits = text.extract_compatibility(F.col("t"))
-    return table(spark, sf, "documents").select("doc_id", told.alias("t")).select(
+    return busy_table(spark, sf, "documents").select("doc_id", told.alias("t")).select(
         "doc_id",
         F.array_join(text.extract_certifications(F.col("t")), ";").alias("certifications"),
         F.array_join(fits["vehicle_types"], ";").alias("vehicle_types"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwright.operators.lookup import spread_scan
 from shelfwright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,8 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def busy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for steps that do much work per byte, over all cores also when it is small."""
+    return spread_scan(table(spark, sf_dir, name))

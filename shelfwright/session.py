@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Validation filters sit on many computed columns; deriving further filters from them costs
+    # seconds of planning and gains nothing, as no operator joins on null keys.
+    "spark.sql.constraintPropagation.enabled": "false",
     # Call-site capture costs more than building the large page expressions themselves.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
