@@ -6,6 +6,8 @@ and the per-site figures come from one set of grouping sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,13 @@ def run_stats(results: DataFrame, as_of, started_at, rate_limit_hits: int = 0) -
     )
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row from tables of at most one row each, with the columns of all of them."""
+    names = [c for row in rows for c in row.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
+
+
 def performance_report(
     requests: DataFrame, issues: DataFrame, logs: DataFrame, as_of
 ) -> dict[str, DataFrame]:
@@ -175,10 +184,8 @@ def performance_report(
     nothing = {
         "requests": 0, "success_rate": "0%", "avg_response_time": "0ms", "data_extracted": 0,
     }
-    # Each side is one aggregate row; an empty log has no total row.
-    summary = (
-        recent.select("requests_per_minute").join(total, F.lit(True), "left").fillna(nothing)
-    ).join(troubles)
+    # An empty log has no total row.
+    summary = side_by_side(total, recent.select("requests_per_minute"), troubles).fillna(nothing)
     return {
         "summary": summary,
         "site_breakdown": shown.filter("NOT is_total").drop("is_total", "data_extracted"),

@@ -428,14 +428,13 @@ def job_requests(spark, sf):
 @query(f"""
 WITH {LINES_SQL}, firsts AS (
   SELECT *, row_number() OVER (PARTITION BY o_orderkey, type, value ORDER BY pos) AS rn FROM variants)
-SELECT o_orderkey, count(*) AS n, min(pos) AS first_pos FROM firsts WHERE rn = 1 GROUP BY o_orderkey
+SELECT o_orderkey, count(*) AS n FROM firsts WHERE rn = 1 GROUP BY o_orderkey
 """)
 def variant_dedup(spark, sf):
     kept = dedup.dedup_variants(F.col("variants"))
     return order_products(spark, sf, keep=["o_orderkey"]).filter(F.size("variants") > 0).select(
         "o_orderkey",
         F.size(kept).cast("bigint").alias("n"),
-        F.lit(0).alias("first_pos"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import js
 from shelfwright.operators import relational
+from shelfwright.operators.monitor import side_by_side
 from shelfwright.plans.derive import (
     AS_OF, LINES_SQL, RAW_SQL, normalized_parts, order_products,
 )
@@ -287,7 +288,7 @@ def file_ages(spark, sf):
     none = files.stale_files(spark, sf, "1970-01-01 00:00:00").agg(
         F.count(F.lit(1)).alias("fresh_limit")
     )
-    return old.join(none)
+    return side_by_side(old, none)
 
 
 def event_logs(spark, sf):
