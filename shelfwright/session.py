@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     # Validation filters sit on many computed columns; deriving further filters from them costs
     # seconds of planning and gains nothing, as no operator joins on null keys.
     "spark.sql.constraintPropagation.enabled": "false",
+}
+
+# Settings that only a new session can take; they change no result.
+START_CONF = {
     # Call-site capture costs more than building the large page expressions themselves.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -30,11 +34,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "shelfwright", master: str | None = None, **conf: str) -> SparkSession:
-    """Create a session; ``master`` is left to spark-submit on a cluster."""
+    """Create a session, or take the running one; ``master`` is left to spark-submit on a cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
