@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwright.llm import vectors
+from shelfwright.llm import simhash, suffixes, vectors
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
 
@@ -48,3 +49,16 @@ def query(sql: str | None = None):
 )
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query()
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_texts(table(spark, sf_dir, "documents"), distance=4, words=4)
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), size=200).select(
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
