@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import simhash, suffixes, vectors
+from shelfwright.llm import simhash, substrings, suffixes, vectors
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
 
@@ -62,3 +62,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_spans(table(spark, sf_dir, "documents"), size=35).select(
+        "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )

@@ -23,19 +23,9 @@ def _anchors(size: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = W.raw(batch.column("text"))
-            rid, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "th"))
-            for row, end, start, stop in W.pieces(offsets, size):
-                found = W.runs(W.TABLES[0][data[start:stop]], offsets[row + 1 : end + 1] - start, size, q)
-                if not len(found.first):
-                    continue
-                doc = row + np.searchsorted(offsets[row + 1 : end + 1], start + found.first, side="right")
-                place = W.packed(
-                    start + found.first - offsets[doc], found.anchor - found.first, found.last - found.first
-                )
-                yield pa.record_batch({
-                    "bucket": found.bucket.view(np.int64), "whole": found.whole.view(np.int64),
-                    "rid": rid[doc], "th": th[doc], "place": place,
-                })
+            yield from W.anchor_rows(
+                batch, offsets, lambda start, stop, data=data: W.TABLES[0][data[start:stop]], size, q
+            )
 
     return run
 

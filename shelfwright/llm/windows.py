@@ -7,7 +7,7 @@ anchor form a run; runs, about one per 60 bytes, stand for all windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -148,6 +148,23 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def anchor_rows(
+    batch: pa.RecordBatch, offsets: np.ndarray, units: Callable[[int, int], np.ndarray], size: int, q: int
+) -> Iterator[pa.RecordBatch]:
+    """(bucket, whole, rid, th, place) of the runs of all rows, whose units start at the offsets."""
+    rid, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "th"))
+    for row, end, start, stop in pieces(offsets, size):
+        found = runs(units(start, stop), offsets[row + 1 : end + 1] - start, size, q)
+        if not len(found.first):
+            continue
+        doc = row + np.searchsorted(offsets[row + 1 : end + 1], start + found.first, side="right")
+        place = packed(start + found.first - offsets[doc], found.anchor - found.first, found.last - found.first)
+        yield pa.record_batch({
+            "bucket": found.bucket.view(np.int64), "whole": found.whole.view(np.int64),
+            "rid": rid[doc], "th": th[doc], "place": place,
+        })
+
+
 def repeated_classes(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One refinement of buckets. Rows are (bucket, whole, rid, th, place).
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shelfwright.llm import queries, simhash, suffixes
+from shelfwright.llm import queries, simhash, substrings, suffixes
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -56,10 +56,69 @@ def test_bytes_of_documents(spark):
     assert got == sorted((d, n, k, len(s), brute.sha(t)) for d, n, k, s, t in want_bytes(rows, 200))
 
 
+def merged(spans):
+    out = []
+    for s in spans:
+        if out and s.start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], s.stop))
+        else:
+            out.append((s.start, s.stop))
+    return tuple(out)
+
+
+def want_words(rows, size):
+    texts = [tuple(brute.WORDS.findall((t or "").encode())) for _, t in rows]
+    out = []
+    for (doc_id, _), words, spans in zip(rows, texts, brute.repeated(texts, size), strict=True):
+        kept = b" ".join(w for part in brute.cut(words, spans) for w in part)
+        out.append((doc_id or 0, len(words), sum(b - a for a, b in spans), tuple(spans), kept.decode()))
+    return sorted(out)
+
+
+def test_words_against_brute_force(spark):
+    rows = odd_texts() + [(300, "one two three " * 40), (301, "\x00 \x0b\x1c a " * 30), (302, "w" * 3000)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, th int, path int")
+    for size, q in ((35, 8), (10, 3)):
+        got = sorted(
+            (r.row.doc_id or 0, r.n_words, r.n_removed, merged(r.spans), r.kept)
+            for r in substrings.remove_spans(docs, size, q).collect()
+        )
+        assert got == want_words(rows, size)
+
+
+def test_words_beyond_a_piece(spark):
+    long = ("x" * (1 << 21)) + " " + " ".join(str(i) for i in range(400_000))
+    rows = [(1, long), (2, "a b " + long[-2000:]), (3, "y " + long[: (1 << 21)] + " 0 1 2 3 4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_spans(docs).collect()}
+    tail = len(long[-2000:].split()[1:])
+    assert got == {1: (400_001, tail), 2: (3 + tail, tail), 3: (7, 0)}
+
+
+def test_words_of_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in queries.QUERIES["op3_substrings"](spark, SF).collect())
+    assert got == sorted((d, n, k, brute.sha(t.encode())) for d, n, k, _, t in want_words(rows, 35))
+
+
+def test_paths_and_circles(spark):
+    from shelfwright.llm.scratch import Scratch
+
+    chain = [(i, 100 + i, 101 + i) for i in range(9)]
+    circle = [(20, 300, 301), (21, 301, 302), (22, 302, 300)]
+    fork = [(30, 109, 500), (31, 109, 501)]
+    segments = spark.createDataFrame([(*s, 0) for s in chain + circle + fork], "seg long, head long, tail long, check long")
+    paths = {r.seg: r.path for r in substrings.compact(segments, Scratch(spark, "test")).collect()}
+    assert {paths[i] for i in range(9)} == {8}
+    assert {paths[i] for i in (20, 21, 22)} == {20}
+    assert paths[30] == 30 and paths[31] == 31
+
+
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_no_documents(spark, schema):
     empty = spark.createDataFrame([], schema)
     assert suffixes.remove_repeats(empty).count() == 0
+    assert substrings.remove_spans(empty).count() == 0
     assert simhash.near_texts(empty).count() == 0
 
 
