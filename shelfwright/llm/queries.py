@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import simhash, substrings, suffixes, vectors
+from shelfwright.llm import chat, packing, simhash, substrings, suffixes, vectors
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
 
@@ -69,3 +69,38 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_spans(table(spark, sf_dir, "documents"), size=35).select(
         "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), limit=2048)
+
+
+@query(
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+      UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), e AS (
+      SELECT *, 4 + 2 + 8
+        + length(replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), ':' || chr(10), ':\' || chr(10)), '</turn>', '<\/turn>'))
+        + length(replace(replace(replace(replace(text, '\', '\\'), '### ', '#\## '), ':' || chr(10), ':\' || chr(10)), '</turn>', '<\/turn>'))
+        AS chars
+      FROM t
+    )
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """
+)
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_chats(turns))
