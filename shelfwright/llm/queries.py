@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import chat, packing, simhash, substrings, suffixes, vectors
+from shelfwright.llm import chat, packing, quality, simhash, substrings, suffixes, urls, vectors
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
 
@@ -104,3 +104,43 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.format_chats(turns))
+
+
+URL_RULES = (
+    urls.Rule("com/", "allow"), urls.Rule("example.com/en/", "block"), urls.Rule("www.example.com/en/", "allow"),
+    urls.Rule("net/es/", "block"), urls.Rule("net/fr/", "block"), *urls.DEFAULT_RULES,
+)
+
+
+@query(
+    f"""
+    WITH s AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS p FROM pages),
+    r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM s),
+    h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM r),
+    u AS (
+      SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path
+      FROM h
+    ), rules(text, host, path, verdict) AS (VALUES
+      ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+      ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+      ('net/fr/', 'net', '/fr/', 'block')
+    ), m AS (
+      SELECT u.page_id, max_by(rules.text, length(rules.text)) AS text, max_by(rules.verdict, length(rules.text)) AS verdict
+      FROM u JOIN rules ON (u.host = rules.host OR u.host LIKE '%.' || rules.host) AND starts_with(u.path, rules.path)
+      GROUP BY u.page_id
+    )
+    SELECT u.page_id, u.host, u.path, m.text AS rule,
+      coalesce(m.verdict, CASE WHEN regexp_matches(u.host || u.path,
+        '(^|[^0-9A-Za-z])({"|".join(urls.UNWANTED)})([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM u LEFT JOIN m ON m.page_id = u.page_id
+    """
+)
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
