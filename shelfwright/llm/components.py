@@ -13,7 +13,7 @@ def components(edges: DataFrame, scratch: Scratch, first: str = "u", second: str
     """(node, root) for every node of an edge table of longs; root is the smallest node it reaches.
 
     Alternating stars: each round hangs the larger neighbours of a node, then the smaller ones, on the smallest
-    neighbour, until nothing moves. Minima are combined before the shuffle and joined back, so a node with very
+    neighbour, until nothing moves. Minima are combined before the shuffle, stored, and joined back, so a node with very
     many neighbours is split like any skewed join. Null ends and loops are ignored; nodes without edges are not
     listed. An empty table gives an empty table.
     """
@@ -34,12 +34,14 @@ def components(edges: DataFrame, scratch: Scratch, first: str = "u", second: str
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"
+        )
         large = scratch.save(
             both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(),
             "large",
         )
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), "small")
         turned = (
             large.join(small, "hi")
             .where("lo <> m")
@@ -48,7 +50,7 @@ def components(edges: DataFrame, scratch: Scratch, first: str = "u", second: str
             .distinct()
         )
         before, stars = stars, scratch.save(turned, "stars")
-        scratch.drop(before, large)
+        scratch.drop(before, least, large, small)
     members = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return members.unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 

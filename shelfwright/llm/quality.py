@@ -72,8 +72,11 @@ def pooled(data: np.ndarray, offsets: np.ndarray, network: Network) -> tuple[np.
     return top, total / np.maximum(chunks, 1)[:, None]
 
 
-def fit(chunks: list[list[bytes]], labels: np.ndarray, epochs: int = 12, seed: int = 11) -> Network:
-    """Gradient descent (Adam) on the log loss; gradients go to the windows that gave the maxima."""
+def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = 1000, seed: int = 11) -> Network:
+    """Gradient descent (Adam) on the log loss; gradients go to the windows that gave the maxima.
+
+    A small sample is gone through more often, so that it takes as many steps as a large one.
+    """
     rng = np.random.default_rng(seed)
     params = [
         rng.normal(0, 0.3, (WIDTH, FILTERS, 256)), np.full(FILTERS, 0.1), rng.normal(0, 0.3, FILTERS),
@@ -92,7 +95,7 @@ def fit(chunks: list[list[bytes]], labels: np.ndarray, epochs: int = 12, seed: i
             valid[i, : max(1, len(c) - WIDTH + 1)] = True
         padded[k] = block, valid
     step, names = 0, np.arange(FILTERS)
-    for _ in range(epochs):
+    while used and step < steps:
         order = rng.permutation(used)
         for at in range(0, len(order), 32):
             some = order[at : at + 32]

@@ -233,9 +233,10 @@ def link(prints: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
             F.array(*[F.struct(F.lit(n).alias("mask"), _key(kept, F.col("fp")).alias("bucket")) for n, kept in enumerate(masks)])
         ).alias("x"),
     ).select("fp", "x.mask", "x.bucket")
-    sizes = (
+    sizes = scratch.save(
         keyed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-        .select("mask", "bucket", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+        .select("mask", "bucket", F.ceil(F.col("n") / TILE).cast("int").alias("parts")),
+        "sizes",
     )
     dealt = (
         keyed.join(sizes, ["mask", "bucket"])
@@ -254,6 +255,36 @@ def link(prints: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
     )
 
 
+def _groups(rows: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """(fp, root) of all fingerprints in rows (fp, ...)."""
+    nodes = scratch.save(rows.select("fp").distinct(), "nodes")
+    roots = components(link(nodes, distance, scratch), scratch).withColumnRenamed("node", "fp")
+    return scratch.save(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def representatives(
+    docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each group of ``near_texts``, with all its columns: the one with the smallest id, null ids last.
+
+    Equal ids go by their place in the input, which is a stored table, so each row has one place in every scan.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    placed = docs.withColumn("llm_place", F.monotonically_increasing_id())
+    rows = scratch.save(
+        fingerprints(placed, text_col, F.col(id_col).alias("id"), F.col("llm_place").alias("place"), words=words), "prints"
+    )
+    grouped = _groups(rows, distance, scratch)
+    firsts = scratch.save(
+        rows.join(grouped, "fp")
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first"))
+        .select(F.col("first.place").alias("llm_place")),
+        "firsts",
+    )
+    return placed.join(firsts, "llm_place", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+
+
 def near_texts(
     docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -269,13 +300,12 @@ def near_texts(
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, text_col, F.col(id_col).alias("id"), words=words), "prints")
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(link(nodes.select("fp"), distance, scratch), scratch).withColumnRenamed("node", "fp")
-    rooted = scratch.save(
-        nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted"
-    )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
+    grouped = _groups(rows, distance, scratch)
+    # stored, so that a frequent root or fingerprint is split in the joins
+    least = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    rooted = scratch.save(grouped.join(least, "fp"), "least-rooted")
+    smallest = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    by_print = scratch.save(rooted.join(smallest, "root").select("fp", "component_id"), "by-print")
     return rows.join(by_print, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -148,15 +148,16 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, size: int, q: int) -> Dat
     anchors = scratch.save(texts.mapInArrow(_anchors(size, q), rows), "anchors")
     kept, classes, open_ = W.repeated_classes(anchors, scratch, "runs")
     scratch.drop(anchors)
-    wanted = classes.join(
-        open_.select("bucket").distinct().withColumn("mixed", F.lit(True)), "bucket", "left"
-    ).withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    mixed = scratch.save(open_.select("bucket").distinct(), "open")
+    wanted = classes.join(mixed.withColumn("mixed", F.lit(True)), "bucket", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     lists = wanted.groupBy("rid", "th").agg(
         F.collect_list(F.struct("place", "bucket", "whole", "n", "mixed")).alias("runs")
     )
     edges = scratch.save(texts.join(lists, ["rid", "th"]).mapInArrow(_edges(size), EDGE), "edges")
     single = edges.where("kind = 1")
-    again = single.groupBy("bucket", "whole").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.save(
+        single.groupBy("bucket", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again"
+    )
     kmers = scratch.save(
         single.join(again, ["bucket", "whole"], "left_semi").withColumn("seg", F.xxhash64("bucket", "whole", F.lit(1))),
         "kmers",

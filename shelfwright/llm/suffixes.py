@@ -152,7 +152,9 @@ def repeated_places(texts: DataFrame, scratch: Scratch, size: int, q: int) -> Da
     single = scratch.save(
         inner.select("rid", "th", "place", "inner", "context").mapInArrow(_windows(size), rows), "windows"
     )
-    again = single.groupBy("bucket", "whole").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.save(
+        single.groupBy("bucket", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again"
+    )
     found = (
         W.settled(kept, classes)
         .unionByName(W.settled(cells_kept, cell_classes))

@@ -156,8 +156,11 @@ def near_vectors(
         ),
         "linked",
     )
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = linked.join(smallest, "root").select("vkey", "label", "vector", "n_links", "component_id")
+    # stored, so that a frequent root or vector is split in the joins
+    smallest = scratch.save(linked.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    by_class = scratch.save(
+        linked.join(smallest, "root").select("vkey", "label", "vector", "n_links", "component_id"), "by-class"
+    )
     good_rows = rows.where("good").join(by_class, ["vkey", "label", "vector"])
     lone = rows.where(~F.col("good"))
     return good_rows.select("id", "n_links", "component_id").unionByName(

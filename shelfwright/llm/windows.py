@@ -173,10 +173,10 @@ def repeated_classes(rows: DataFrame, scratch: Scratch, name: str) -> tuple[Data
     two or more rows is settled, its windows all repeat, and one of its rows goes on as witness for the open
     ones. Buckets of one row are dropped: nothing equals them.
 
-    Counts are combined before they are shuffled, and rows meet counts in plain joins, so a bucket that holds a
-    large share of all rows is split by adaptive execution.
+    Counts are combined before they are shuffled, and stored before rows meet them: a join of two stored tables is
+    one that adaptive execution can split, so no bucket that holds a large share of all rows stays in one task.
     """
-    again = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    again = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "again")
     kept = scratch.save(rows.join(again, "bucket"), f"{name}-kept")
     classes = scratch.save(
         kept.groupBy("bucket", "whole").agg(
@@ -185,11 +185,12 @@ def repeated_classes(rows: DataFrame, scratch: Scratch, name: str) -> tuple[Data
         ),
         f"{name}-classes",
     )
-    mixed = (
+    mixed = scratch.save(
         classes.groupBy("bucket")
         .agg(F.count("*").alias("classes"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
         .where("classes > 1 AND single > 0")
-        .select("bucket")
+        .select("bucket"),
+        "mixed",
     )
     return kept, classes, classes.join(mixed, "bucket")
 
