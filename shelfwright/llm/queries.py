@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import chat, packing, quality, simhash, substrings, suffixes, urls, vectors
+from shelfwright.llm import chat, packing, pieces, quality, search, simhash, substrings, suffixes, urls, vectors
+from shelfwright.llm.scratch import Scratch
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
 
@@ -144,3 +145,38 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
     return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    r"""
+    WITH w AS (
+      SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+      FROM documents
+    ), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+    dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY doc_id),
+    n AS (SELECT count(*) AS n, (SELECT count(*) FROM w) / count(*) AS avgdl FROM documents),
+    idf AS (SELECT term, ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term),
+    s AS (
+      SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+      FROM tf q JOIN tf d ON q.term = d.term JOIN idf ON idf.term = d.term JOIN dl ON dl.doc_id = d.doc_id, n
+      WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, doc_id, rank, score FROM r WHERE rank <= 10
+    """
+)
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_documents(docs, F.col("doc_id") % 50 == 0, k=10)
+
+
+@query()
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op4")
+    coded = scratch.save(pieces.encode(table(spark, sf_dir, "documents")), "ids")
+    back = pieces.decode(coded)
+    return coded.join(back, "row_number").select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
