@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwright.functions import nodes, urls
 from shelfwright.operators import pages as ops
 from shelfwright.operators.adapters.base import extract_specs
-from shelfwright.operators.adapters.generic import GenericAdapter
+from shelfwright.operators.adapters.generic import USUAL_LIMITS, GenericAdapter
 from shelfwright.operators.adapters.mcas import McasAdapter
 from shelfwright.operators.adapters.shopify import (
     ShopifyAdapter, page_description, page_in_stock, page_variants, raw_images, raw_variants,
@@ -206,8 +206,8 @@ def _map_text(c: str):
 @query("""
 SELECT p_partkey, 'acme-' || p_partkey AS id, 'Shoei ' || p_name AS name,
   CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'Unknown' END AS brand,
-  CASE WHEN p_size % 3 = 0 THEN try_cast(replace(format('{:.2f}', p_retailprice), '.', '.') AS DOUBLE)
-    ELSE p_retailprice END AS regular,
+  CASE WHEN p_size % 3 = 0 THEN CAST(format('{:.2f}', p_retailprice)
+    || CAST(floor(floor(p_retailprice / 2 * 100 + 0.5) / 100) AS BIGINT) AS DOUBLE) ELSE p_retailprice END AS regular,
   p_size % 5 > 0 AS in_stock, ':Select one|s:Small $5.50|l:Large|s2:Small $5.50' AS variants,
   'https://cdn.shop.example.com/product-' || p_partkey || '.jpg|https://acme.example.com/helmet-' || p_partkey
     || '.png|https://acme.example.com/logo-helmet.png' AS images
@@ -220,10 +220,8 @@ def extract_raw_shopify(spark, sf):
         "p_partkey", _present(reader.extract_raw(F.col("url"), F.col("page"))).alias("r")
     )
     records = raw.select("p_partkey", "r.*")
-    products = normalize_products(
-        # Two dollar amounts would run together in the numeric price.
-        records.withColumn("price", F.regexp_extract("price", r"^(\S+)", 1)), "acme", AS_OF, ["p_partkey"]
-    )
+    # Two amounts in one price text run together in the numeric price, up to the second point.
+    products = normalize_products(records, "acme", AS_OF, ["p_partkey"])
     shown = F.transform(
         "variants",
         lambda v: F.concat(
@@ -463,7 +461,8 @@ CONFIGS = [
     {"name": "acme", "base_url": "https://acme.example.com", "adapter_type": "shopify",
      "selectors": {"product_container": ".product-item"}},
     {"name": "mega", "base_url": "https://mega.example.com", "adapter_type": "mcas"},
-    {"name": "other", "base_url": "https://other.example.com", "adapter_type": "generic"},
+    {"name": "other", "base_url": "https://other.example.com", "adapter_type": "generic",
+     "limits": USUAL_LIMITS},
 ]
 
 LINKS_SQL = f"""
@@ -511,7 +510,22 @@ FROM l WHERE l_orderkey % 3 = 1 OR (l_orderkey % 3 = 2 AND n <= 20) GROUP BY ALL
 """)
 def listing_summaries(spark, sf):
     """Product summaries of listing pages; the hosted-shop style has none."""
-    outcomes = ops.process_pages(listing_pages(spark, sf), CONFIGS, AS_OF)
+    return _summaries(spark, sf, CONFIGS)
+
+
+@query(f"""
+WITH {LISTS_SQL}
+SELECT l_orderkey AS key, 'Part ' || l_partkey AS name, l_extendedprice AS regular,
+  'https://x.example.com/' || l_partkey || '.jpg' AS image, count(*) AS n
+FROM l WHERE l_orderkey % 3 > 0 GROUP BY ALL
+""")
+def listing_summaries_unlimited(spark, sf):
+    """All boxes of listing pages, where no site asks for a limit."""
+    return _summaries(spark, sf, [{**c, "limits": {}} for c in CONFIGS])
+
+
+def _summaries(spark, sf, configs):
+    outcomes = ops.process_pages(listing_pages(spark, sf), configs, AS_OF)
     return (
         outcomes.select("key", F.explode("summaries").alias("s"))
         .groupBy(
@@ -633,16 +647,24 @@ def route_by_url(spark, sf):
 
 
 @query("""
-WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages)
-SELECT page_id, origin AS site FROM h
+WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages),
+s AS (SELECT origin, min(page_id) AS pos, min(page_id) % 3 AS style FROM h GROUP BY origin),
+b AS (SELECT pos, origin AS name, CASE style WHEN 0 THEN origin WHEN 1 THEN regexp_replace(origin, '^[a-z]+://', '')
+  ELSE substr(regexp_replace(origin, '^[a-z]+://', ''), 2) || '/' END AS base FROM s
+  UNION ALL VALUES (100000000000, 'by path', '/es/'), (100000000001, 'by end', 'html'))
+SELECT p.page_id, min_by(b.name, b.pos) AS site FROM pages p LEFT JOIN b ON contains(p.url, b.base) GROUP BY p.page_id
 """)
 def route_by_url_many_sites(spark, sf):
-    """Every page origin is a site: matched by equality of the address up to the host."""
+    """Every page origin is a site, with its scheme, without it, or as the end of a host; two are bits of paths."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     origin = urls.url_origin(F.col("url"))
-    sites = pages.groupBy(origin.alias("base_url")).agg(F.min("page_id").cast("int").alias("pos"))
-    dim = sites.select(
-        "pos", F.col("base_url").alias("name"), "base_url", F.lit("mcas").alias("adapter_type")
-    )
-    routed = ops.route_by_url(pages, dim, "url", ["page_id"], max_theta_rows=0)
+    bare = F.regexp_replace("name", "^[a-z]+://", "")
+    style = F.col("pos") % 3
+    sites = pages.groupBy(origin.alias("name")).agg(F.min("page_id").alias("pos"))
+    base = F.when(style == 0, F.col("name")).when(style == 1, bare).otherwise(F.concat(F.substr(bare, F.lit(2)), F.lit("/")))
+    more = spark.createDataFrame(
+        [(10**11, "by path", "/es/"), (10**11 + 1, "by end", "html")], "pos long, name string, base_url string"
+    )
+    dim = sites.select("pos", "name", base.alias("base_url")).unionByName(more)
+    routed = ops.route_by_url(pages, dim.withColumn("adapter_type", F.lit("mcas")), "url", ["page_id"], inline_sites=0)
     return routed.select("page_id", "site")

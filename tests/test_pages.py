@@ -123,16 +123,27 @@ def test_generic_types(spark):
 
 
 def test_route_by_url_both_ways(spark):
-    rows = [(1, "https://a.com/x"), (2, "https://a.com.au/x"), (3, "/rel"), (4, "http://q/https://b.com/y"), (5, "https://c.com")]
+    rows = [
+        (1, "https://a.com/x"), (2, "https://a.com.au/x"), (3, "/rel"), (4, "http://q/https://b.com/y"),
+        (5, "https://c.com"), (6, "https://bare.example.com/a"), (7, "https://x.net/en/shop/1"), (8, "HTTPS://UP.COM/x"),
+        (9, None), (10, "https://seashop.net/"),
+    ]
     urls = spark.createDataFrame(rows, "id int, url string")
+    bases = [
+        "https://a.com/x", "https://a.com", "https://b.com/", "bare.example.com", "/en/shop/", "UP.COM", "shop",
+        None, "é", "",
+    ]
     for kind in ["mcas", "generic"]:
-        sites = spark.createDataFrame(
-            [(0, "deep", "https://a.com/x", "mcas"), (1, "a", "https://a.com", "mcas"), (2, "b", "https://b.com/", "mcas"),
-             (3, "rest", "https://r.com", kind)],
-            "pos int, name string, base_url string, adapter_type string",
-        )
-        rest = "rest" if kind == "generic" else None
-        want = {1: "deep", 2: "a", 3: "deep", 4: "b", 5: rest}
-        for limit in [1000, 0]:
-            got = ops.route_by_url(urls, sites, "url", ["id"], max_theta_rows=limit)
-            assert {r["id"]: r["site"] for r in got.collect()} == want
+        for used in (bases[:9], bases):
+            sites = spark.createDataFrame(
+                [(10**12 + i, f"s{i}", b, "mcas") for i, b in enumerate(used)] + [(10**13, "rest", "https://r.com", kind)],
+                "pos long, name string, base_url string, adapter_type string",
+            )
+            got = [
+                {r["id"]: r["site"] for r in ops.route_by_url(urls, sites, "url", ["id"], inline_sites=n).collect()}
+                for n in (1000, 0)
+            ]
+            assert got[0] == got[1]
+            rest = "s9" if len(used) == 10 else "rest" if kind == "generic" else None
+            for i, site in {1: "s0", 2: "s1", 3: "s0", 4: "s2", 5: rest, 6: "s3", 7: "s4", 10: "s6"}.items():
+                assert got[0][i] == site, (i, used, kind)
