@@ -43,13 +43,17 @@ def union_products(*dfs: DataFrame) -> DataFrame:
 def append_products(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Existing and new products; the first per id stays, existing ones before new ones.
 
-    ``order`` names a column that gives the position within one side.
+    ``order`` names a column that gives the position within one side; without it, rows count in the
+    order of their files.
     """
     ranked = union_products(
-        existing.withColumn("_side", F.lit(0)), new.withColumn("_side", F.lit(1))
+        *[
+            side.withColumns({"_side": F.lit(n), "_place": F.monotonically_increasing_id()})
+            for n, side in enumerate((existing, new))
+        ]
     )
-    by = [F.col("_side").asc()] + ([F.col(order).asc()] if order else [])
-    return first_per_key(ranked, ["id"], by).drop("_side")
+    by = ["_side", *([order] if order else []), "_place"]
+    return first_per_key(ranked, ["id"], [F.col(c).asc() for c in by]).drop("_side", "_place")
 
 
 def merge_partials(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -26,7 +26,7 @@ def _list(c: Column) -> Column:
 
 
 def to_relational(df: DataFrame) -> dict[str, DataFrame]:
-    """Five tables keyed by product and variant id; ``image_order`` is the position."""
+    """Five tables keyed by product id, and variant id within it; ``image_order`` is the position."""
     products = df.select(
         "id", "name", "brand", js.blank_to_null(F.col("sku")).alias("sku"), "category",
         js.blank_to_null(F.col("subcategory")).alias("subcategory"),
@@ -70,59 +70,49 @@ def to_relational(df: DataFrame) -> dict[str, DataFrame]:
         _nonzero(F.col("v.availability.quantity")).cast("int").alias("quantity"),
     )
     variant_images = each.select(
-        F.col("v.id").alias("variant_id"),
+        "product_id", F.col("v.id").alias("variant_id"),
         F.posexplode("v.images").alias("image_order", "image_url"),
     )
     parts = [products, images, specs, variants, variant_images]
     return dict(zip(TABLES, parts, strict=True))
 
 
+def latest_products(df: DataFrame, order: str | None = None) -> DataFrame:
+    """The last product of each id, by ``order`` or else by its place in the input."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    by = [F.col(order).desc()] if order else []
+    return first_per_key(placed, ["id"], [*by, F.col("_place").desc()]).drop("_place")
+
+
 def upsert_relational(
     old: dict[str, DataFrame], new: dict[str, DataFrame]
 ) -> dict[str, DataFrame]:
-    """Products and variants by key, the newer write wins; children are replaced with the parent.
+    """Stored products that come again are replaced with all their children.
 
-    Where ``new`` repeats a key, a ``seq`` column in its table tells the latest row.
+    ``new`` holds each product once: cut it from ``latest_products``, so that of a repeated key the
+    last write stays, with its children and no others. Variant ids need to be unique only within
+    their product.
     """
-
-    def latest(df: DataFrame) -> DataFrame:
-        if "seq" not in df.columns:
-            return df
-        return first_per_key(df, ["id"], [F.col("seq").desc()]).drop("seq")
-
-    def replaced(table: str, key: str, gone: DataFrame) -> DataFrame:
-        return old[table].join(gone, key, "left_anti")
-
     ids = new["products"].select("id").distinct()
     as_product = ids.withColumnRenamed("id", "product_id")
-    out = {
-        "products": replaced("products", "id", ids).unionByName(latest(new["products"])),
+    return {
+        name: old[name]
+        .join(ids if name == "products" else as_product, "id" if name == "products" else "product_id", "left_anti")
+        .unionByName(new[name])
+        for name in TABLES
     }
-    for table in ["product_images", "product_specifications"]:
-        out[table] = replaced(table, "product_id", as_product).unionByName(new[table])
-    fresh = latest(new["product_variants"])
-    kept = replaced("product_variants", "product_id", as_product).join(
-        fresh.select("id"), "id", "left_anti"
-    )
-    out["product_variants"] = kept.unionByName(fresh)
-    out["variant_images"] = (
-        old["variant_images"]
-        .join(kept.select(F.col("id").alias("variant_id")), "variant_id", "left_semi")
-        .unionByName(new["variant_images"])
-    )
-    return out
 
 
-def from_relational(tables: dict[str, DataFrame]) -> DataFrame:
-    """Nested products, the newest first. Children without a parent drop out.
+def from_relational(tables: dict[str, DataFrame], newest_first: bool = False) -> DataFrame:
+    """Nested products, on demand the newest first. Children without a parent drop out.
 
-    Children are gathered per parent before the joins; all joins are on the product id, so one
-    shuffle per table serves aggregation and join.
+    Children, variant images as well, are gathered per product before the joins; all joins are on the
+    product id, so one shuffle per table serves aggregation and join.
     """
     variant_images = (
         tables["variant_images"]
-        .groupBy("variant_id")
-        .agg(F.array_sort(F.collect_list(F.struct("image_order", "image_url"))).alias("_vi"))
+        .groupBy("product_id")
+        .agg(F.array_sort(F.collect_list(F.struct("variant_id", "image_order", "image_url"))).alias("_vi"))
     )
     no_list = F.array().cast("array<string>")
     variant = F.struct(
@@ -134,11 +124,10 @@ def from_relational(tables: dict[str, DataFrame]) -> DataFrame:
         F.struct(
             "in_stock", F.col("quantity").cast("double").alias("quantity"), "stock_status"
         ).alias("availability"),
-        F.coalesce(F.transform("_vi", lambda x: x["image_url"]), no_list).alias("images"),
+        no_list.alias("images"),
     )
     variants = (
         tables["product_variants"]
-        .join(variant_images, F.col("id") == F.col("variant_id"), "left")
         .groupBy("product_id")
         .agg(F.array_sort(F.collect_list(variant)).alias("_variants"))
     )
@@ -157,10 +146,15 @@ def from_relational(tables: dict[str, DataFrame]) -> DataFrame:
         )
     )
     joined = tables["products"]
-    for child in [images, specs, variants]:
+    for child in [images, specs, variants, variant_images]:
         joined = joined.join(
             child.withColumnRenamed("product_id", "id"), "id", "left"
         )
+
+    def with_images(v: Column) -> Column:
+        own = F.filter("_vi", lambda x: x["variant_id"] == v["id"])
+        return v.withField("images", F.coalesce(F.transform(own, lambda x: x["image_url"]), no_list))
+
     none = F.lit(None)
     columns = {
         "id": F.col("id"), "name": F.col("name"), "brand": F.col("brand"), "sku": F.col("sku"),
@@ -169,7 +163,7 @@ def from_relational(tables: dict[str, DataFrame]) -> DataFrame:
             "regular_price", "sale_price", "currency", F.col("discount_percentage").cast("double")
         ),
         "availability": F.struct("in_stock", F.col("quantity").cast("double"), "stock_status"),
-        "variants": F.coalesce("_variants", F.array().cast(T.ArrayType(schemas.VARIANT))),
+        "variants": F.coalesce(F.transform("_variants", with_images), F.array().cast(T.ArrayType(schemas.VARIANT))),
         "images": F.coalesce(F.transform("_images", lambda x: x["image_url"]), no_list),
         "description": F.struct(
             "short_description", "full_description", none.cast("array<string>"),
@@ -185,7 +179,8 @@ def from_relational(tables: dict[str, DataFrame]) -> DataFrame:
     out = [
         columns.get(f.name, none).cast(f.dataType).alias(f.name) for f in schemas.PRODUCT.fields
     ]
-    return joined.select(*out).orderBy(F.col("metadata.scraped_at").desc())
+    products = joined.select(*out)
+    return products.orderBy(F.col("metadata.scraped_at").desc(), "id") if newest_first else products
 
 
 def flatten_for_csv(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from shelfwright import schemas
 from shelfwright.functions import js
 from shelfwright.operators import relational
 from shelfwright.operators.monitor import side_by_side
@@ -32,14 +34,17 @@ def stored_products(spark, sf):
 
 
 def rich_products(spark, sf):
-    """Order products with images, specifications, lists and variant images; id per order."""
+    """Order products with images, specifications, lists and variant images.
+
+    Variants are numbered within their product, so their ids repeat from product to product.
+    """
     key = F.col("o_orderkey").cast("string")
     products = order_products(spark, sf, keep=["o_orderkey"])
     url = F.concat(F.lit("https://img.example.com/"), key)
     variants = F.transform(
         "variants",
         lambda v, i: v.withField(
-            "id", F.concat(F.lit("o"), key, F.lit("-"), i.cast("string"))
+            "id", F.concat(F.lit("variant-"), i.cast("string"))
         ).withField(
             "images", F.when(v["type"] == "color", F.array(F.concat(url, F.lit("-c")), v["id"]))
         ),
@@ -97,7 +102,7 @@ def tables_specifications(spark, sf):
 
 @query(f"""
 WITH {LINES_SQL}
-SELECT 'o' || o_orderkey || '-' || pos AS id, 'acme-O-' || o_orderkey AS product_id, name, type, value,
+SELECT 'variant-' || pos AS id, 'acme-O-' || o_orderkey AS product_id, name, type, value,
   regular AS regular_price, in_stock, stock_status,
   CASE WHEN quantity > 0 THEN CAST(quantity AS INT) END AS quantity
 FROM variants
@@ -112,7 +117,7 @@ def tables_variants(spark, sf):
 
 @query(f"""
 WITH {LINES_SQL}
-SELECT 'o' || o_orderkey || '-' || pos AS variant_id, unnest([0, 1]) AS image_order,
+SELECT 'acme-O-' || o_orderkey AS product_id, 'variant-' || pos AS variant_id, unnest([0, 1]) AS image_order,
   unnest(['https://img.example.com/' || o_orderkey || '-c', id]) AS image_url
 FROM variants WHERE type = 'color'
 """)
@@ -121,20 +126,25 @@ def tables_variant_images(spark, sf):
 
 
 @query(f"""
-WITH {LINES_SQL}, v AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (type = 'color') AS c
+WITH {LINES_SQL}, v AS (SELECT o_orderkey, count(*) AS n, string_agg('variant-' || pos || '=' || name || '/' || type || '/' || value || '/'
+    || CASE WHEN type = 'color' THEN 'https://img.example.com/' || o_orderkey || '-c,' || id ELSE '' END, ';'
+    ORDER BY 'variant-' || pos) AS shown
   FROM variants GROUP BY o_orderkey)
 SELECT 'acme-O-' || o.o_orderkey AS id, 'Order ' || o.o_orderkey AS name, o_totalprice AS regular,
   CASE WHEN o.o_orderkey % 3 > 0 THEN 'https://img.example.com/' || o.o_orderkey
     || '/b|https://img.example.com/' || o.o_orderkey || '/a' ELSE '' END AS images,
   'lines=' || coalesce(n, 0) || ';order=' || o.o_orderkey AS specs, coalesce(n, 0) AS n_variants,
-  coalesce(2 * c, 0) AS n_variant_images
+  coalesce(shown, '') AS variants
 FROM orders o LEFT JOIN v ON o.o_orderkey = v.o_orderkey
 """)
 def tables_round_trip(spark, sf):
     """Nested products to five tables and back."""
     back = relational.from_relational(relational.to_relational(stored_products(spark, sf)))
-    n_images = F.aggregate(
-        "variants", F.lit(0).cast("bigint"), lambda n, v: n + F.size(v["images"]).cast("bigint")
+    shown = F.transform(
+        F.array_sort("variants", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)),
+        lambda v: F.concat(
+            v["id"], F.lit("="), F.concat_ws("/", v["name"], v["type"], v["value"], F.array_join(v["images"], ","))
+        ),
     )
     return back.select(
         "id", "name", "price.regular",
@@ -147,7 +157,7 @@ def tables_round_trip(spark, sf):
             ";",
         ).alias("specs"),
         F.size("variants").cast("bigint").alias("n_variants"),
-        n_images.alias("n_variant_images"),
+        F.array_join(shown, ";").alias("variants"),
     )
 
 
@@ -162,17 +172,23 @@ SELECT 'acme-O-' || p.o_orderkey AS id, o_totalprice AS regular_price, coalesce(
 FROM p LEFT JOIN v ON p.o_orderkey = v.o_orderkey
 """)
 def tables_upsert(spark, sf):
-    """Every fourth order comes in again: double price, first image only, no variants."""
+    """Every fourth order comes in three times more; the last has double the price, one image, no variants."""
     products = stored_products(spark, sf)
-    again = products.filter("o_orderkey % 4 = 0").withColumns(
-        {
-            "price": F.col("price").withField("regular", F.col("price.regular") * 2),
-            "images": F.slice("images", 1, 1),
-            "variants": F.slice("variants", 1, 0),
-        }
-    )
+    fourth = products.filter("o_orderkey % 4 = 0")
+
+    def again(turn: int):
+        return fourth.withColumns(
+            {
+                "turn": F.lit(turn),
+                "price": F.col("price").withField("regular", F.col("price.regular") * (8 >> turn)),
+                "images": F.slice("images", 1, 1) if turn == 2 else F.concat("images", "images"),
+                "variants": F.slice("variants", 1, 0) if turn == 2 else F.col("variants"),
+            }
+        )
+
+    batch = again(2).unionByName(again(0)).unionByName(again(1))
     merged = relational.upsert_relational(
-        relational.to_relational(products), relational.to_relational(again)
+        relational.to_relational(products), relational.to_relational(relational.latest_products(batch, "turn"))
     )
 
     def counted(name: str, alias: str):
@@ -276,19 +292,79 @@ def store_all_formats(spark, sf):
     return stored.select("format", "count", "success")
 
 
-@query("SELECT 'parquet' AS extension, 14 AS files")
+@query(f"""
+WITH {RAW_SQL}, p AS (SELECT 'p-' || p_partkey AS id, full_name AS name, p_retailprice AS regular, p_partkey FROM norm)
+SELECT 'tables' AS format, id, name, CASE WHEN p_partkey % 3 = 0 THEN regular * 2 ELSE regular END AS regular FROM p
+UNION ALL SELECT 'json', id, name, regular FROM p WHERE p_partkey % 3 < 2
+UNION ALL SELECT 'json', id, name, regular * 2 FROM p WHERE p_partkey % 3 IN (0, 2)
+UNION ALL SELECT 'csv', id, name, regular FROM p WHERE p_partkey % 3 < 2
+UNION ALL SELECT 'csv', id, name, regular * 2 FROM p WHERE p_partkey % 3 IN (0, 2)
+""".replace("regular * 2 FROM p WHERE p_partkey % 3 IN (0, 2)",
+            "CASE WHEN p_partkey % 3 = 0 THEN regular * 2 ELSE regular END FROM p WHERE p_partkey % 3 IN (0, 2)"))
+def store_two_runs(spark, sf):
+    """Two runs that share a third of their products: tables add up, files of both runs stay; all read back."""
+    folder = scratch(spark, "runs")
+    parts = normalized_parts(spark, sf, keep=["p_partkey"]).withColumn(
+        "id", F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))
+    )
+    third = F.col("p_partkey") % 3
+    twice = F.col("price").withField("regular", F.col("price.regular") * F.when(third == 0, 2).otherwise(1))
+    runs = [parts.where(third < 2), parts.where(third != 1).withColumn("price", twice)]
+    paths = {"json": [], "csv": [], "tables": []}
+    for n, run in enumerate(runs):
+        stored = files.store_products(
+            run.drop("p_partkey"), "all", folder, as_of=datetime(2025, 1, 15 + n, tzinfo=timezone.utc)
+        )
+        for row in stored.collect():  # a row per format
+            paths[row["format"]].append(row["path"])
+    columns = ["id", "name", F.col("price.regular").alias("regular")]
+    json_rows = spark.read.schema(schemas.PRODUCT).json(paths["json"]).select(*columns)
+    csv_rows = spark.read.option("header", True).option("escape", '"').csv(paths["csv"]).select(
+        "id", "name", F.col("regular_price").cast("double").alias("regular")
+    )
+    table_rows = relational.from_relational(files.read_stored(spark, paths["tables"][-1])).select(*columns)
+    out = None
+    for name, rows in (("tables", table_rows), ("json", json_rows), ("csv", csv_rows)):
+        rows = rows.select(F.lit(name).alias("format"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _note_files(spark, sf) -> str:
+    """Customer notes as one text file per nation and a list of nations, and the folder they are in."""
+    path = scratch(spark, "notes")
+    customers = table(spark, sf, "customer").select(
+        F.col("c_nationkey"), F.format_string("%010d %12.2f", "c_custkey", F.col("c_acctbal").cast("double")).alias("value")
+    )
+    customers.repartition("c_nationkey").write.partitionBy("c_nationkey").text(f"{path}/notes")
+    nations = table(spark, sf, "nation").select(F.to_json(F.struct("n_name", "n_nationkey")).alias("value"))
+    nations.coalesce(1).write.text(f"{path}/nations")
+    return path
+
+
+@query("""
+SELECT 'txt' AS extension, count(DISTINCT c_nationkey) + 1 AS files,
+  CAST(24 * count(*) + (SELECT sum(strlen('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') + 1) FROM nation)
+    AS BIGINT) AS total_size FROM customer
+""")
 def file_stats(spark, sf):
-    return files.storage_stats(spark, sf).select("extension", "files")
+    """Number and bytes of files written from the tables."""
+    return files.storage_stats(spark, _note_files(spark, sf)).where("extension = 'txt'")
 
 
-@query("SELECT 14 AS stale, 0 AS fresh_limit")
+@query("""
+SELECT count(DISTINCT c_nationkey) + 1 AS older_than_an_hour, 0 AS older_than_two FROM customer
+""")
 def file_ages(spark, sf):
-    later = F.count(F.lit(1)).alias("stale")
-    old = files.stale_files(spark, sf, "2100-01-01 00:00:00").agg(later)
-    none = files.stale_files(spark, sf, "1970-01-01 00:00:00").agg(
-        F.count(F.lit(1)).alias("fresh_limit")
-    )
-    return side_by_side(old, none)
+    """Files written now are older than an hour, and no older than two, an hour and a half from now."""
+    path = _note_files(spark, sf)
+    then = (datetime.now(timezone.utc) + timedelta(minutes=90)).strftime("%Y-%m-%d %H:%M:%S")
+
+    def older(hours: int, alias: str):
+        old = files.stale_files(spark, path, then, max_age_hours=hours)
+        return old.where("path LIKE '%.txt'").agg(F.count(F.lit(1)).alias(alias))
+
+    return side_by_side(older(1, "older_than_an_hour"), older(2, "older_than_two"))
 
 
 def event_logs(spark, sf):

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from shelfwright import schemas
 from shelfwright.operators.lookup import spread_scan
-from shelfwright.operators.relational import TABLES, flatten_for_csv, to_relational
+from shelfwright.operators.relational import (
+    TABLES, flatten_for_csv, latest_products, to_relational, upsert_relational,
+)
 
 
 def _is_missing(error: AnalysisException) -> bool:
@@ -71,6 +73,47 @@ def read_relational(spark: SparkSession, directory: str) -> dict[str, DataFrame]
     return {name: spark.read.parquet(f"{directory.rstrip('/')}/{name}") for name in TABLES}
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def _versions(spark: SparkSession, directory: str) -> list[int]:
+    """Finished versions of stored tables, oldest first."""
+    fs, root = _folder(spark, directory)
+    if not fs.exists(root):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    return sorted(int(n[6:]) for n in names if n.startswith("ready-"))
+
+
+def read_stored(spark: SparkSession, directory: str) -> dict[str, DataFrame] | None:
+    """The five tables as the last finished ``add_to_stored`` left them; None before the first."""
+    found = _versions(spark, directory)
+    return read_relational(spark, f"{directory.rstrip('/')}/v{found[-1]}") if found else None
+
+
+def add_to_stored(df: DataFrame, directory: str, order: str | None = None) -> None:
+    """Add products to the stored tables; those stored under the same id are replaced.
+
+    All tables are written as a new version beside the old one, which stays readable until a marker
+    file makes the new one current. The version before the last is then deleted. One writer at a time.
+    """
+    spark, root = df.sparkSession, directory.rstrip("/")
+    found = _versions(spark, root)
+    tables = to_relational(latest_products(df, order))
+    if found:
+        tables = upsert_relational(read_relational(spark, f"{root}/v{found[-1]}"), tables)
+    number = found[-1] + 1 if found else 1
+    write_relational(tables, f"{root}/v{number}")
+    fs, marker = _folder(spark, f"{root}/ready-{number}")
+    fs.create(marker, True).close()
+    for old in found[:-1]:
+        for name in (f"ready-{old}", f"v{old}"):
+            fs.delete(_folder(spark, f"{root}/{name}")[1], True)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages (page_id, url, html), over all cores, as parsing them is heavy."""
     return spread_scan(spark.read.parquet(path))
@@ -82,7 +125,8 @@ def store_products(
 ) -> DataFrame:
     """Store in ``json``, ``csv``, ``tables`` or ``all``; one result row per format.
 
-    Empty input stores nothing. Names carry a UTC time unless told otherwise.
+    Empty input stores nothing. Names carry a UTC time unless told otherwise. Tables are added to
+    what earlier runs stored under the same name.
     """
     spark = df.sparkSession
     result = "format string, path string, count bigint, success boolean, error string"
@@ -104,7 +148,7 @@ def store_products(
                 elif kind == "csv":
                     write_products_csv(kept, path)
                 elif kind == "tables":
-                    write_relational(to_relational(kept), path)
+                    add_to_stored(kept, path)
                 else:
                     raise ValueError(f"unknown format: {kind}")
                 rows.append((kind, path, count, True, None))

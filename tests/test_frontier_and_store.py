@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwright.operators import frontier, images, monitor, relational
+from shelfwright.operators import dedup, frontier, images, monitor, relational
 from shelfwright.sources import logs, products, sites
 from tests.test_products import product
 from shelfwright import schemas
@@ -82,6 +82,51 @@ def test_upsert_replaces_children(spark):
     assert got == {"1": ("new", 1), "2": (" A  b ", 3)}
 
 
+def test_last_write_wins_with_its_children(spark):
+    old = spark.createDataFrame([product(id="1"), product(id="2")], schemas.PRODUCT)
+    batch = spark.createDataFrame(
+        [product(name="first", images=["a", "b"]), product(name="second", images=["c"]), product(id="3")], schemas.PRODUCT
+    )
+    merged = relational.upsert_relational(
+        relational.to_relational(old), relational.to_relational(relational.latest_products(batch.coalesce(1)))
+    )
+    got = {r["id"]: (r["name"], list(r["images"])) for r in relational.from_relational(merged).collect()}
+    assert got["1"] == ("second", ["c"]) and len(got) == 3
+
+
+def test_same_variant_ids_in_two_products(spark):
+    def v(images):
+        return {
+            "id": "variant-0", "name": "n", "sku": "", "type": "size", "value": "M",
+            "price": {"regular": 1.0, "sale": 0.0, "currency": "AUD"},
+            "availability": {"in_stock": True, "quantity": 0.0, "stock_status": "in_stock"}, "images": images,
+        }
+
+    rows = [product(id="1", variants=[v(["b", "a"])]), product(id="2", variants=[v(["c"])]), product(id="3", variants=[v([])])]
+    df = spark.createDataFrame(rows, schemas.PRODUCT)
+    back = relational.from_relational(relational.to_relational(df), newest_first=True).collect()
+    assert {r["id"]: r["variants"][0]["images"] for r in back} == {"1": ["b", "a"], "2": ["c"], "3": []}
+    assert [r["id"] for r in back] == ["1", "2", "3"]  # one time of scraping: by id
+
+
+def test_stored_tables_add_up(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert products.read_stored(spark, folder) is None
+    for n in range(3):
+        batch = [product(id=str(n), name=f"run {n}"), product(id="x", name=f"run {n}")]
+        products.add_to_stored(spark.createDataFrame(batch, schemas.PRODUCT), folder)
+    got = {r["id"]: r["name"] for r in relational.from_relational(products.read_stored(spark, folder)).collect()}
+    assert got == {"0": "run 0", "1": "run 1", "2": "run 2", "x": "run 2"}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] in "rv") == ["ready-2", "ready-3", "v2", "v3"]
+
+
+def test_append_keeps_the_first_that_came(spark):
+    old = spark.createDataFrame([("1", "a"), ("1", "b")], "id string, name string").coalesce(1)
+    new = spark.createDataFrame([("2", "c"), ("2", "d"), ("1", "e")], "id string, name string").coalesce(1)
+    got = {r["id"]: r["name"] for r in dedup.append_products(old, new).collect()}
+    assert got == {"1": "a", "2": "c"}
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([product(name='q"uo,te', brand=" edge ")], schemas.PRODUCT)
     result = products.store_products(df, "all", str(tmp_path), as_of=datetime.datetime(2025, 1, 2, 3, 4, 5))
