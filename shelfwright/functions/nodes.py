@@ -82,7 +82,9 @@ def _chain(tokens: list[str], nodes: Column, n: Column) -> Column:
     if how == ">":
         up = F.get(nodes, n["parent"])
         return test & F.when(n["parent"] >= 0, _chain(rest, nodes, up)).otherwise(False)
-    return test & F.exists(n["anc"], lambda a: _chain(rest, nodes, F.get(nodes, a)))
+    # Ancestors are the earlier nodes that reach as far as this one.
+    above = F.slice(nodes, F.lit(1), n["i"])
+    return test & F.exists(above, lambda a: (a["last"] >= n["i"]) & _chain(rest, nodes, a))
 
 
 def matches(selector: str, nodes: Column, n: Column) -> Column:
@@ -108,11 +110,9 @@ def select(page: Column, selector: str, within: Column | None = None) -> Column:
 def closest(page: Column, selector: str, n: Column) -> Column:
     """The node itself or its nearest ancestor that fits; null when none does."""
     nodes = page["nodes"]
-    hits = F.filter(
-        F.concat(n["anc"], F.array(n["i"])),
-        lambda a: matches(selector, nodes, F.get(nodes, a)),
-    )
-    return js.let(F.try_element_at(hits, F.lit(-1)), lambda at: F.get(nodes, at))
+    upward = F.slice(nodes, F.lit(1), n["i"] + 1)
+    hits = F.filter(upward, lambda a: (a["last"] >= n["i"]) & matches(selector, nodes, a))
+    return F.try_element_at(hits, F.lit(-1))
 
 
 def next_sibling(page: Column, n: Column) -> Column:

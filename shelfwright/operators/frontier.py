@@ -38,7 +38,8 @@ def enqueue(
     metadata = F.col("metadata") if "metadata" in urls.columns else F.lit(None)
     now = _time(as_of)
     new = urls.select(
-        F.xxhash64("url", now, "seq").alias("id"),
+        # Wide enough to be a key of any number of entries.
+        F.sha2(F.concat_ws("\n", "url", F.unix_micros(now).cast("string"), F.col("seq").cast("string")), 256).alias("id"),
         "url",
         "site",
         F.coalesce(F.nullif(given, F.lit(0)), F.lit(default_priority)).cast("int").alias("priority"),
@@ -60,6 +61,7 @@ def _queue_order() -> list[Column]:
         F.col("priority").desc(),
         F.col("created_at").asc(),
         F.col("seq").asc(),
+        F.col("id").asc(),
     ]
 
 

@@ -76,7 +76,7 @@ class _Page(HTMLParser):
             {
                 "i": i, "parent": parent, "prev": self.last_child.get(parent, -1), "from_end": 1,
                 "tag": tag, "classes": values.get("class", "").split(), "attrs": values,
-                "t0": self.size, "t1": self.size, "last": i, "anc": list(self.open),
+                "t0": self.size, "t1": self.size, "last": i,
             }
         )
         self.last_child[parent] = i
@@ -127,7 +127,6 @@ def _parse(html: pa.Array) -> pa.Array:
     }
     columns["tag"] = pa.array([n["tag"] for n in nodes], pa.string())
     columns["classes"] = _lists([n["classes"] for n in nodes], pa.string())
-    columns["anc"] = _lists([n["anc"] for n in nodes], pa.int32())
     attrs = [n["attrs"] for n in nodes]
     columns["attrs"] = pa.MapArray.from_arrays(
         pa.array(np.cumsum([0] + [len(a) for a in attrs]), pa.int32()),

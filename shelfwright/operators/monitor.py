@@ -189,6 +189,6 @@ def performance_report(
     return {
         "summary": summary,
         "site_breakdown": shown.filter("NOT is_total").drop("is_total", "data_extracted"),
-        "recent_activity": recent_logs(logs, 20),
+        "recent_activity": recent_logs(logs, 20, tie=[c for c in ("source", "level", "message") if c in logs.columns]),
         "trends": recent.select("hourly_requests", "hourly_failures"),
     }

@@ -117,7 +117,7 @@ def _effect(ms: np.ndarray, start: int, cap: int, rate: int) -> tuple[list, list
     lows, shifts, fixed = [0], [0], [-1]
     now = start
     for t in ms.tolist():
-        gain, now = (t - now) * rate, t
+        gain, now = max(0, t - now) * rate, max(now, t)
         nl, ns, nf = [], [], []
         for k, low in enumerate(lows):
             high = lows[k + 1] - 1 if k + 1 < len(lows) else cap
@@ -151,8 +151,8 @@ def _run(ms: np.ndarray, start_ms: int, level: int, cap: int, rate: int):
     before = np.empty(len(ms), dtype=np.int64)
     now = start_ms
     for k, t in enumerate(ms.tolist()):
-        level = min(cap, level + (t - now) * rate)
-        now = t
+        level = min(cap, level + max(0, t - now) * rate)
+        now = max(now, t)
         before[k] = level
         if level >= UNITS:
             level -= UNITS
@@ -181,11 +181,12 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     now = int(pdf["ms0"].iat[0]) if pdf["ms0"].iat[0] >= 0 else int(pdf["first_ms"].iat[0])
     starts, ends = [], []
     for row in pdf.itertuples():
-        level = min(cap, level + (row.first_ms - now) * rate)
+        # A request from before the stored level, one that came late, refills nothing.
+        level = min(cap, level + max(0, row.first_ms - now) * rate)
         starts.append(level)
         k = int(np.searchsorted(np.asarray(row.lows), level, side="right")) - 1
         level = int(row.fixed[k]) if row.fixed[k] >= 0 else level + int(row.shifts[k])
-        now = row.last_ms
+        now = max(now, row.last_ms)
         ends.append(level)
     return pd.DataFrame(
         {
@@ -238,13 +239,15 @@ def token_bucket_tag(
     state: DataFrame | None = None,
     slice_ms: int = 600_000,
     order: str = "id",
+    slices: DataFrame | None = None,
 ) -> DataFrame:
     """Tag each request of a site: tokens before it, admitted or not, and the wait it is told.
 
     A request takes one token if there is one. Otherwise it is refused and told to wait for the
-    missing part of a token, but no less than the least interval.
+    missing part of a token, but no less than the least interval. ``slices``, if given, is what
+    ``bucket_slices`` made of the same requests.
     """
-    starts = bucket_slices(requests, params, state, slice_ms)
+    starts = bucket_slices(requests, params, state, slice_ms) if slices is None else slices
     timed = _with_params(requests.select("site", "ms", order), params).withColumn(
         "slice", F.floor(F.col("ms") / slice_ms)
     )

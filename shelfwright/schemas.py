@@ -82,9 +82,10 @@ METRIC_POINT = _struct(name=STR, type=STR, value=DBL, timestamp=TS, tags=STRING_
 REQUEST = _struct(site=STR, success=BOOL, response_ms=DBL, data_extracted=LNG, ts=TS)
 
 # One element of a parsed page, in document order. ``last`` is its last descendant; its text is
-# the slice [t0, t1) of the page text; ``anc`` lists its ancestors, the outermost first.
+# the slice [t0, t1) of the page text. A node's ancestors are those
+# before it whose ``last`` is not before it.
 NODE = _struct(
     i=INT, parent=INT, prev=INT, from_end=INT, last=INT, tag=STR, classes=STRINGS, attrs=STRING_MAP,
-    t0=INT, t1=INT, anc=T.ArrayType(INT),
+    t0=INT, t1=INT,
 )
 PARSED_PAGE = _struct(text=STR, nodes=T.ArrayType(NODE))

@@ -16,6 +16,11 @@ RUNTIME_CONF = {
     # Validation filters sit on many computed columns; deriving further filters from them costs
     # seconds of planning and gains nothing, as no operator joins on null keys.
     "spark.sql.constraintPropagation.enabled": "false",
+    # Python workers hold one batch of pages at a time: few rows, and few bytes where rows are large.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    # A rank is limited before its shuffle for large batches as well as for small ones.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 # Settings that only a new session can take; they change no result.
