@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfwright.operators import frontier, images, monitor, rate
 from shelfwright.plans.registry import query, table
-from shelfwright.plans.store_queries import event_logs, supplier_configs
+from shelfwright.plans.store_queries import event_logs, scratch, supplier_configs
+from shelfwright.sources import logs as log_files
 
 NOW = "2024-03-01 00:00:00"
 NOW_MS = 1709251200000
@@ -408,6 +409,23 @@ def metric_points(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query(f"""
+WITH {POINTS_SQL}
+SELECT strftime(ts, '%Y-%m-%d') AS dt, name, type, site, CAST(success AS VARCHAR) AS success, count(*) AS n,
+  round(sum(value), 2) AS total
+FROM points GROUP BY ALL
+""")
+def metric_files_by_day(spark, sf):
+    """Metric points written as daily JSON lines and read back."""
+    path = scratch(spark, "metrics")
+    log_files.write_metrics(monitor.to_metric_points(requests_of_events(spark, sf)), path)
+    tags = F.col("tags")
+    return log_files.read_metrics(spark, path).groupBy(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("dt"), "name", "type", tags["site"].alias("site"),
+        tags["success"].alias("success"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query(f"""
 WITH {POINTS_SQL}
 SELECT coalesce(sum(value), 0) AS requests_per_minute FROM points

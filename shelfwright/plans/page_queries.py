@@ -600,6 +600,28 @@ def process_products(spark, sf):
     )
 
 
+@query("""
+SELECT p_partkey, 'p' || p_partkey AS id FROM part
+WHERE p_partkey % 8 > 0 AND p_partkey % 7 <> 1 AND p_partkey % 7 <> 2
+""")
+def summaries_complete(spark, sf):
+    """Summaries of parts; those that lack one of the seven fields, or have an empty one, drop out."""
+    k = F.col("p_partkey")
+
+    def unless(test, value):
+        return F.when(~test, value)
+
+    price = F.struct(F.col("p_retailprice").alias("regular"))
+    summaries = table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("p"), k.cast("string")).alias("id"),
+        F.when(k % 7 == 1, "").otherwise(F.col("p_name")).alias("name"),
+        unless(k % 7 == 2, F.col("p_brand")).alias("brand"), F.col("p_type").alias("category"),
+        unless(k % 8 == 0, price).alias("price"), F.struct(F.lit(True).alias("in_stock")).alias("availability"),
+        F.struct(F.lit("acme").alias("site")).alias("metadata"),
+    )
+    return ops.complete_summaries(summaries).select("p_partkey", "id")
+
+
 @query("""
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'product' WHEN 1 THEN 'collection' WHEN 2 THEN 'search'
     ELSE 'unknown' END AS shopify,

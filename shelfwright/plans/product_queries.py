@@ -89,6 +89,23 @@ def product_normalize(spark, sf):
     )
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size % 5 = 1 WHEN p_partkey % 4 = 1 THEN false ELSE p_size % 5 > 0 END AS in_stock,
+  CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE p_size % 5 END AS DOUBLE) AS quantity,
+  CASE WHEN p_size % 5 = 1 THEN 'in_stock' ELSE 'out_of_stock' END AS stock_status FROM part
+""")
+def availability_by_quantity(spark, sf):
+    """A stock quantity, where given, decides over the status; a text that is no number counts as none."""
+    k = F.col("p_partkey") % 4
+    raw = table(spark, sf, "part").select(
+        "p_partkey",
+        F.when(F.col("p_size") % 5 == 1, "in_stock").otherwise("out_of_stock").alias("stock_status"),
+        F.when(k == 1, "many").when(k > 1, (F.col("p_size") % 5).cast("string")).alias("inventory_quantity"),
+    )
+    made = normalize.normalize_availability(normalize._Raw(raw), use_quantity=True)
+    return raw.select("p_partkey", made.alias("a")).select("p_partkey", "a.in_stock", "a.quantity", "a.stock_status")
+
+
 @query(f"""
 WITH {LINES_SQL}
 SELECT o_orderkey, pos, id, name, type, value, regular, in_stock, quantity, stock_status FROM variants

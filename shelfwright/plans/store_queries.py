@@ -448,14 +448,18 @@ SELECT name, array_to_string(errors, '; ') AS errors, CASE WHEN len(errors) = 0
 FROM e
 """)
 def site_config_files(spark, sf):
-    """Configurations written as ``{"sites": {…}}`` files, one per supplier, read and checked."""
+    """Configurations written as ``{"sites": {…}}`` and as bare ``{…}`` files, read and checked."""
     path = scratch(spark, "sites")
-    configs = supplier_configs(spark, sf).drop("s_suppkey")
-    body = F.to_json(
-        F.struct(F.create_map(F.col("name"), F.struct(*configs.columns)).alias("sites"))
+    rows = supplier_configs(spark, sf)
+    columns = [c for c in rows.columns if c != "s_suppkey"]
+    # A file holds one JSON document, so a row becomes a file: some hundreds of sites each.
+    number = F.floor(F.col("s_suppkey") / 200)
+    sites = rows.groupBy(number.alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("name"), F.struct(*columns)))).alias("sites")
     )
-    # A file holds one JSON document, so every row becomes its own file.
-    configs.select("name", body.alias("value")).write.partitionBy("name").text(path)
+    wrapped, bare = F.to_json(F.struct("sites")), F.to_json("sites")
+    body = F.when(F.col("part") % 2 == 0, wrapped).otherwise(bare)
+    sites.select("part", body.alias("value")).write.partitionBy("part").text(path)
     valid, invalid = site_files.read_site_configs(spark, path + "/*/*.txt")
     switches = ["use_stealth", "rotate_user_agents"]
     good = valid.select("name", F.lit("").alias("errors"), *[f"anti_detection.{s}" for s in switches])

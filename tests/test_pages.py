@@ -147,3 +147,16 @@ def test_route_by_url_both_ways(spark):
             rest = "s9" if len(used) == 10 else "rest" if kind == "generic" else None
             for i, site in {1: "s0", 2: "s1", 3: "s0", 4: "s2", 5: rest, 6: "s3", 7: "s4", 10: "s6"}.items():
                 assert got[0][i] == site, (i, used, kind)
+
+
+def test_deep_nesting_is_linear(spark):
+    """8,000 nested elements: no list of ancestors is kept, and selectors still see them."""
+    from shelfwright.functions import nodes
+    from shelfwright.operators.html import parse_html, parse_pages
+
+    html = "<div>" * 8000 + "<b class='x'>deep</b>" + "</div>" * 8000
+    parsed = parse_html(html)
+    assert len(parsed["nodes"]) == 8001 and all(not isinstance(v, list) or len(v) < 2 for v in parsed["nodes"][-1].values())
+    page = parse_pages(spark.createDataFrame([(html,)], "html string"))
+    got = page.select(nodes.select_text(F.col("page"), "div b.x").alias("x")).first()
+    assert got["x"] == "deep"

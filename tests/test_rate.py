@@ -86,3 +86,12 @@ def test_utilization_and_params(spark):
     )
     got = {r["site"]: tuple(r)[1:] for r in rate.bucket_params(sites).collect()}
     assert got == {"s": (7.5, 0.125, 2000.0), "d": (5.0, 0.5, 2000.0)}
+
+
+def test_late_request_refills_nothing(spark):
+    """A request older than the level it meets takes a token and turns no clock back."""
+    params = spark.createDataFrame([("a", 2.0, 1.0, 0.0)], "site string, max_tokens double, refill_rate double, min_interval double")
+    state = spark.createDataFrame([("a", rate.UNITS, 10_000)], "site string, level bigint, ms bigint")
+    requests = spark.createDataFrame([("a", 4_000, 1), ("a", 4_500, 2)], "site string, ms bigint, id bigint")
+    tags = {r["id"]: (r["tokens"], r["admitted"]) for r in rate.token_bucket_tag(requests, params, state).collect()}
+    assert tags == {1: (1.0, True), 2: (0.5, False)}
