@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 # Above this many rows a dimension is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
+# And above this many bytes, as text.
+BROADCAST_BYTES = 32 << 20
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows and is short as text; reads one row beyond at most."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, text = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and text <= BROADCAST_BYTES
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

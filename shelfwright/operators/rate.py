@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from shelfwright.operators.lookup import bounded_broadcast
 
 # Limits of the global and of the per-site limiter.
+# Requests of one slice that one task walks through.
+SLICE_ROWS = 50_000
 MAX_REQUESTS = 60
 BURST_LIMIT = 10
 WINDOW_MS = 60_000
@@ -210,13 +212,31 @@ def _with_params(requests: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def _cut_slices(timed: DataFrame, slice_ms: int, rows: int = SLICE_ROWS) -> DataFrame:
+    """Requests with their ``slice``, whose numbers rise with time.
+
+    A slice is ``slice_ms`` long; where a site has more than ``rows`` requests in one, it is cut into
+    as many shorter ones as hold about ``rows`` each.
+    """
+    coarse = F.floor(F.col("ms") / slice_ms)
+    crowded = (
+        timed.groupBy("site", coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+        .select("site", "coarse", F.ceil(F.col("n") / rows).alias("parts"))
+    )
+    fine = F.floor((F.col("ms") - F.col("coarse") * slice_ms) * F.coalesce("parts", F.lit(1)) / slice_ms)
+    return (
+        timed.withColumn("coarse", coarse)
+        .join(bounded_broadcast(crowded), ["site", "coarse"], "left")
+        .withColumn("slice", F.col("coarse") * (1 << 20) + fine)
+        .drop("coarse", "parts")
+    )
+
+
 def bucket_slices(
     requests: DataFrame, params: DataFrame, state: DataFrame | None = None, slice_ms: int = 600_000
 ) -> DataFrame:
     """Start and end level of each (site, slice); ``state`` (site, level, ms) continues a run."""
-    timed = _with_params(requests.select("site", "ms"), params).withColumn(
-        "slice", F.floor(F.col("ms") / slice_ms)
-    )
+    timed = _cut_slices(_with_params(requests.select("site", "ms"), params), slice_ms)
     effects = timed.groupBy("site", "slice").applyInPandas(_slice_effect, _EFFECT)
     if state is None:
         seeded = effects.withColumn("level0", F.col("cap")).withColumn("ms0", F.lit(-1).cast("bigint"))
@@ -248,9 +268,7 @@ def token_bucket_tag(
     ``bucket_slices`` made of the same requests.
     """
     starts = bucket_slices(requests, params, state, slice_ms) if slices is None else slices
-    timed = _with_params(requests.select("site", "ms", order), params).withColumn(
-        "slice", F.floor(F.col("ms") / slice_ms)
-    )
+    timed = _cut_slices(_with_params(requests.select("site", "ms", order), params), slice_ms)
     joined = timed.join(starts.select("site", "slice", "start_level"), ["site", "slice"])
     kind = dict(requests.dtypes)[order]
 

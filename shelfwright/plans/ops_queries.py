@@ -16,7 +16,7 @@ NOW_MS = 1709251200000
 
 def seeds(spark, sf):
     """One URL per order; the customer's nation is the site."""
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     named = orders.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -316,7 +316,7 @@ SELECT c_custkey, lower(n_name) AS site, 'https://' || lower(n_name) || '.exampl
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 """)
 def url_site_bases(spark, sf):
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("site")))
+    nation = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("site"))
     customers = table(spark, sf, "customer").join(
         nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )

@@ -57,6 +57,13 @@ def test_backoff(spark):
     assert got == [1000, 2000, 4000, 8000, 16000, 30000, 30000]
 
 
+def test_large_batches_are_limited_early(spark):
+    rows = [(f"https://a/{i}", "a", i % 3, i) for i in range(50)]
+    f = frontier.enqueue(None, spark.createDataFrame(rows, "url string, site string, priority int, seq long"), T0)
+    plan = frontier.next_batch(f, T0, k=5_000, per_site=4_000)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_round_trip_and_lost_values(spark):
     v = {
         "id": "v1", "name": "n", "sku": "", "type": "size", "value": "M",

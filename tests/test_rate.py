@@ -95,3 +95,23 @@ def test_late_request_refills_nothing(spark):
     requests = spark.createDataFrame([("a", 4_000, 1), ("a", 4_500, 2)], "site string, ms bigint, id bigint")
     tags = {r["id"]: (r["tokens"], r["admitted"]) for r in rate.token_bucket_tag(requests, params, state).collect()}
     assert tags == {1: (1.0, True), 2: (0.5, False)}
+
+
+def test_busy_slice_is_cut(spark):
+    """One site with nine tenths of the rows in one slice: many slices, the same tags."""
+    busy = [("busy", 1_000 + i // 3, i) for i in range(1800)]
+    rows = busy + [("calm", 10_000 * i, 10_000 + i) for i in range(200)]
+    requests = spark.createDataFrame(rows, "site string, ms bigint, id bigint")
+    params = spark.createDataFrame([("busy", 5.0, 20.0, 0.0)], "site string, max_tokens double, refill_rate double, min_interval double")
+    timed = rate._with_params(requests, params)
+    cut = rate._cut_slices(timed, 600_000, rows=100).groupBy("site", "slice").count()
+    assert cut.where("site = 'busy'").count() > 0
+    narrow = rate._cut_slices(timed, 1_000, rows=100).groupBy("site", "slice").agg(F.count("*").alias("n"))
+    assert narrow.where("site = 'busy'").agg(F.max("n")).first()[0] <= 350
+    whole = {r["id"]: r["tokens"] for r in rate.token_bucket_tag(requests, params).collect()}
+    old, rate._cut_slices.__defaults__ = rate._cut_slices.__defaults__, (100,)
+    try:
+        parts = {r["id"]: r["tokens"] for r in rate.token_bucket_tag(requests, params, slice_ms=1_000).collect()}
+    finally:
+        rate._cut_slices.__defaults__ = old
+    assert parts == whole
