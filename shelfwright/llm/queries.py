@@ -57,7 +57,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_texts(table(spark, sf_dir, "documents"), distance=4, words=4)
 
 
-@query()
+@query(
+    r"""
+    WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    win AS (
+      SELECT doc_id, i, md5(t[i:i + 199]) AS h FROM (SELECT doc_id, t, unnest(range(1, n - 198)) AS i FROM b WHERE n >= 200)
+    ), rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+    hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM win WHERE h IN (SELECT h FROM rep)),
+    grp AS (SELECT *, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+    span AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM grp GROUP BY doc_id, g),
+    edge AS (
+      SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS from_, s - 1 AS to_ FROM span
+      UNION ALL SELECT b.doc_id, max(n) + 1, coalesce(max(e), 1), max(n) FROM b LEFT JOIN span USING (doc_id) GROUP BY b.doc_id
+    ), kept AS (
+      SELECT doc_id, string_agg(CASE WHEN to_ >= from_ THEN hex(t[from_:to_]) ELSE '' END, '' ORDER BY s) AS x
+      FROM edge JOIN b USING (doc_id) GROUP BY doc_id
+    ), total AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS n_spans FROM span GROUP BY doc_id)
+    SELECT b.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(x)) AS kept_sha256
+    FROM b JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+    """
+)
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), size=200).select(
         "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
@@ -65,7 +85,24 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    win AS (
+      SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+    ), rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+    cov AS (SELECT DISTINCT doc_id, i + unnest(range(35)) AS j FROM win WHERE h IN (SELECT h FROM rep)),
+    gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
+    kept AS (
+      SELECT e.doc_id, string_agg(word, ' ' ORDER BY j) AS t
+      FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) e ANTI JOIN cov USING (doc_id, j)
+      GROUP BY e.doc_id
+    )
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """
+)
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_spans(table(spark, sf_dir, "documents"), size=35).select(
         "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
