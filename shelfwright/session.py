@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+# Where this package lies; Python workers look here too, whatever folder they start in.
+HOME = str(Path(__file__).resolve().parents[1])
+
 # Runtime settings that decide results (time zone, map keys) or keep plans adaptive.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,7 +36,11 @@ START_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session, and let its workers find this package."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if HOME not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([HOME, *paths])
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
