@@ -86,6 +86,8 @@ def fit(chunks: list[list[bytes]], labels: np.ndarray, steps: int = 1000, seed:
     params[4][0] = np.log(share / (1 - share))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     used = [k for k, c in enumerate(chunks) if c]
+    if not used:  # nothing learned, nothing told
+        params[2][:] = params[3][:] = 0
     padded = {}
     for k in used:
         block = np.zeros((len(chunks[k]), CHUNK + WIDTH - 1), dtype=np.uint8)
