@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +17,29 @@ from pyspark.sql import functions as F
 
 from shelfwright.llm.scratch import Scratch
 
-#: Units handled at once; longer sequences are cut into overlapping pieces.
-PIECE = 1 << 20
+#: Units handled at once; longer sequences are cut into overlapping pieces. A piece takes some 30 MB of arrays.
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 22) - 1)
 _rng = np.random.default_rng(20240229)
 TABLES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 BASES = [int(x) * 2 + 1 for x in _rng.integers(1 << 60, 1 << 62, 2, dtype=np.uint64)]
 
 
-@cache
-def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n + 1`` powers of the base and of its inverse, modulo 2**64; a worker keeps the longest made."""
+    if family in _POWERS and len(_POWERS[family][0]) > n:
+        return _POWERS[family]
+    n = 1 << max(16, int(n).bit_length())
     out = []
     for base in (BASES[family] % (1 << 64), pow(BASES[family], -1, 1 << 64)):
         steps = np.full(n, base, dtype=np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps))
-    return out[0], out[1]
-
-
-def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()), family)
+    _POWERS[family] = out[0], out[1]
+    return _POWERS[family]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
