@@ -242,3 +242,33 @@ def remove_repeats(
         T.StructField("kept", T.BinaryType()),
     ])
     return joined.mapInArrow(_cut(size, schema.names), schema)
+
+
+def _whole_end(part: bytes) -> bytes:
+    """The bytes without a last UTF-8 character that lacks some of its own."""
+    for back in range(1, min(3, len(part)) + 1):
+        byte = part[-back]
+        if byte >= 0xC0:
+            return part[:-back] if back < (2 if byte < 0xE0 else 3 if byte < 0xF0 else 4) else part
+        if byte < 0x80:
+            break
+    return part
+
+
+@F.arrow_udf(T.BinaryType())
+def whole_characters(kept: pa.Array, spans: pa.Array) -> pa.Array:
+    """``kept`` without the rest of a character that an edge of one of its ``spans`` cuts; all else stays as it is."""
+    out = []
+    for data, mine in zip(kept.to_pylist(), spans.to_pylist(), strict=True):
+        if mine:
+            parts, at, gone = [], 0, 0
+            for span in mine:
+                parts.append(_whole_end(data[at : span["start"] - gone]))
+                at, gone = span["start"] - gone, gone + span["stop"] - span["start"]
+                # what follows a cut starts with a whole character
+                while at < len(data) and 0x80 <= data[at] < 0xC0:
+                    at += 1
+            parts.append(data[at:])
+            data = b"".join(parts)
+        out.append(data)
+    return pa.array(out, pa.binary())
