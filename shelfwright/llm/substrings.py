@@ -119,11 +119,13 @@ def compact(segments: DataFrame, scratch: Scratch) -> DataFrame:
         .select("u", F.col("v").alias("to"), F.least("u", "v").alias("low"), F.lit(False).alias("done")),
         "links",
     )
-    steps = 1
+    steps, before_active = 1, None
     while True:
         active = state.where("NOT done").count()
-        if not active or steps > 2 * active:
+        # a path that has not ended has pointers that reach its end in each round: if none did, circles are left
+        if not active or (active == before_active and steps > active):
             break
+        before_active = active
         ahead = state.select(F.col("u").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
         moved = (
             state.where("NOT done")

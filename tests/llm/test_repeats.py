@@ -114,6 +114,16 @@ def test_paths_and_circles(spark):
     assert paths[30] == 30 and paths[31] == 31
 
 
+@pytest.mark.parametrize("links", [3, 5])
+def test_lone_path(spark, links):
+    """The longest path left alone, of a length that is no power of two, bears one name."""
+    from shelfwright.llm.scratch import Scratch
+
+    rows = [(50 - i, 100 + i, 101 + i, 0) for i in range(links + 1)]
+    segments = spark.createDataFrame(rows, "seg long, head long, tail long, check long")
+    assert {r.path for r in substrings.compact(segments, Scratch(spark, "test")).collect()} == {50 - links}
+
+
 @pytest.mark.parametrize("schema", ["doc_id long, text string"])
 def test_no_documents(spark, schema):
     empty = spark.createDataFrame([], schema)
