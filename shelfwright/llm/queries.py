@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import chat, packing, pieces, quality, search, simhash, substrings, suffixes, urls, vectors
+from shelfwright.llm import bpe, chat, packing, pieces, quality, search, simhash, substrings, suffixes, urls, vectors
 from shelfwright.llm.scratch import Scratch
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
@@ -217,3 +217,13 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
     )
+
+
+@query()
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+    )
