@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bpe, chat, packing, pieces, quality, search, simhash, substrings, suffixes, urls, vectors
+from shelfwright.llm import bpe, chat, packing, pieces, quality, ranked, search, simhash, substrings, suffixes, urls, vectors
 from shelfwright.llm.scratch import Scratch
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
@@ -227,3 +227,33 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+      FROM documents
+    ), q AS (
+      SELECT DISTINCT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+      FROM benchmark
+    ), qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(ws) AS term FROM q) GROUP BY item_id, term),
+    tf AS (SELECT doc_id, r, term, count(*) AS tf FROM (SELECT doc_id, r, unnest(ws) AS term FROM d) GROUP BY doc_id, r, term),
+    n AS (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d WHERE len(ws) > 0),
+    m AS (SELECT r, 100 - 75 + ((75 * len(ws) * n.n) // n.l) AS m FROM d, n WHERE len(ws) > 0),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, n GROUP BY term),
+    s AS (
+      SELECT item_id, doc_id, tf.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.r = tf.r GROUP BY item_id, doc_id, tf.r
+    ), k AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+    """
+)
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
