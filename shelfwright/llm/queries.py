@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bpe, chat, packing, pieces, quality, ranked, search, simhash, substrings, suffixes, urls, vectors
+from shelfwright.llm import bpe, chat, packing, pieces, quality, ranked, repair, search, simhash, substrings, suffixes, urls, vectors
 from shelfwright.llm.scratch import Scratch
 from shelfwright.plans.registry import Query, table
 from shelfwright.session import configure
@@ -257,3 +257,95 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query(
+    r"""
+    WITH RECURSIVE bits(i, n, x) AS (
+      SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+      UNION ALL SELECT i, n + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE n < 8
+    ), tab AS (SELECT list(x ORDER BY i) AS t FROM bits WHERE n = 8),
+    src AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+      FROM conversations
+    ), hit AS (
+      SELECT src.* EXCLUDE (k), xor(list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(k, '')]),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS c
+      FROM src, tab
+    ), rows_ AS (
+      SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+        CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM hit
+    ), o AS (
+      SELECT coalesce(CAST(conv_id AS VARCHAR), 'null') AS cv, *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        count(*) OVER (PARTITION BY conv_id) AS n
+      FROM rows_
+    ), e AS (
+      SELECT *, cut = '' OR seen > 1 AS bad, CASE WHEN right(cut, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS t, role[1] AS c,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before_
+      FROM o
+    ), b(cv, i, b0, b1, b2, b3) AS (
+      SELECT cv, n + 1, 0, 4, 2, 0 FROM e WHERE i = 1
+      UNION ALL
+      SELECT cv, i, least(x0, 2 + x2, 4 + x3), least(x1, 2 + x2, 4 + x3), least(x2, 2 + x3), least(x3, 2 + x2) FROM (
+        SELECT e.cv, e.i,
+          least(3 + b0, CASE WHEN bad THEN 99999999 ELSE t + least(2 + b2, CASE c WHEN 's' THEN b1 WHEN 'u' THEN b2 ELSE 99999999 END) END) AS x0,
+          least(3 + b1, CASE WHEN bad THEN 99999999 ELSE t + least(2 + b2, CASE c WHEN 'u' THEN b2 ELSE 99999999 END) END) AS x1,
+          least(3 + b2, CASE WHEN bad THEN 99999999 ELSE t + least(2 + b3, CASE c WHEN 'a' THEN b3 ELSE 99999999 END) END) AS x2,
+          least(3 + b3, CASE WHEN bad THEN 99999999 ELSE t + least(2 + b2, CASE c WHEN 'u' THEN b2 ELSE 99999999 END) END) AS x3
+        FROM b JOIN e ON e.cv = b.cv AND e.i = b.i - 1
+      )
+    ), v AS (SELECT cv, i, [b0, b1, b2, b3] AS b FROM b),
+    f(cv, i, q, audit, lines, done) AS (
+      SELECT cv, CAST(1 AS BIGINT), 0, '', CAST([] AS VARCHAR[]), false FROM e WHERE i = 1
+      UNION ALL
+      SELECT cv, i + CASE WHEN edit IN ('I', '') THEN 0 ELSE 1 END,
+        CASE edit WHEN '' THEN q WHEN 'D' THEN q WHEN 'K' THEN CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE q WHEN 2 THEN 3 ELSE 2 END END,
+        audit || edit,
+        CASE edit WHEN '' THEN lines WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+          ELSE list_append(lines, CASE q WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'R' THEN text ELSE '' END) END,
+        edit = ''
+      FROM (
+        SELECT f.*, e.role, e.text, e.c, CASE
+          WHEN e.i IS NULL THEN CASE WHEN here.b[q + 1] = 0 THEN '' ELSE 'I' END
+          WHEN 3 + next.b[q + 1] = here.b[q + 1] THEN 'D'
+          WHEN 2 + here.b[CASE q WHEN 2 THEN 4 ELSE 3 END] = here.b[q + 1] THEN 'I'
+          WHEN NOT bad AND t + CASE WHEN e.c = 's' AND q = 0 THEN next.b[2] WHEN e.c = 'u' AND q <> 2 THEN next.b[3]
+            WHEN e.c = 'a' AND q = 2 THEN next.b[4] ELSE 99999999 END = here.b[q + 1] THEN 'K'
+          ELSE 'R' END AS edit
+        FROM f JOIN v AS here ON here.cv = f.cv AND here.i = f.i LEFT JOIN e ON e.cv = f.cv AND e.i = f.i
+          LEFT JOIN v AS next ON next.cv = f.cv AND next.i = f.i + 1
+        WHERE NOT done
+      )
+    ), s AS (
+      SELECT cv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (cut = '') AS blank,
+        count(*) FILTER (cut <> '' AND seen > 1) AS duplicate, count(*) FILTER (NOT bad AND t = 1) AS truncated,
+        count(*) FILTER (i > 1 AND before_ || c NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM e GROUP BY cv
+    )
+    SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(v.b[1] AS BIGINT), 0) AS cost,
+      coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS cv FROM conversations) g
+      LEFT JOIN s ON s.cv = g.cv LEFT JOIN v ON v.cv = g.cv AND v.i = 1 LEFT JOIN (SELECT * FROM f WHERE done) f ON f.cv = g.cv
+    """
+)
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = repair.Repair(repair.damage(turns))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    summary, digests = made.summary(), made.digests()
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    return (
+        every.join(summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+        .join(digests, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+        .select(
+            F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
