@@ -24,7 +24,7 @@ def _pieces(limit: int, end_id: int, with_ids: bool, names: list[str], paths: tu
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                all_ids = np.append(encode(text.as_py() or "", *paths), np.uint32(end_id)).astype("<u4")
+                all_ids = np.append(encode(text.as_py() or "", *paths, plain=False), np.uint32(end_id)).astype("<u4")
                 head = (len(all_ids) - 1) % limit + 1
                 at = 0
                 for k, stop in enumerate(range(head, len(all_ids) + 1, limit)):
@@ -104,7 +104,8 @@ def pack(
     A document is its token ids and ``end_id``. One longer than ``limit`` is cut into pieces of ``limit``, the first one
     shorter if need be. Only the count of pieces per length (at most ``limit`` numbers) comes to the driver; the plan
     made of it is a table of one row per length. Each piece is ranked among those of its length, a frequent length
-    in several groups whose sizes are summed up first, and takes the slot of its rank.
+    in several groups whose sizes are summed up first, and takes the slot of its rank. Groups are dealt by a piece's place in
+    the stored table, so copies of one document are spread as well.
 
     Null and empty texts are one piece that holds ``end_id`` alone. Rows that repeat an id are documents of their own.
     Other columns are not read. An empty table gives an empty table.
@@ -119,7 +120,7 @@ def pack(
     ]
     schema = T.StructType(fields)
     cut = _pieces(limit, end_id, with_ids, schema.names, (tokenizer_path, ranks_path))
-    pieces = scratch.save(source.mapInArrow(cut, schema), "pieces")
+    pieces = scratch.save(source.mapInArrow(cut, schema).withColumn("seat", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = best_fit(counts, limit)
     plan = spark.createDataFrame(
@@ -129,14 +130,14 @@ def pack(
     # one row per length, at most `limit` of them
     small = F.broadcast(plan.select("length", "groups"))
     dealt = pieces.join(small, "length").withColumn(
-        "grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("groups"))
+        "grp", F.pmod(F.xxhash64("seat"), F.col("groups"))
     )
     before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         dealt.groupBy("length", "grp").agg(F.count("*").alias("n"))
         .select("length", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     )
-    inside = Window.partitionBy("length", "grp").orderBy("id", "piece", "ids_crc32", "start")
+    inside = Window.partitionBy("length", "grp").orderBy("seat")
     ranked = dealt.withColumn("place", F.row_number().over(inside) - 1).join(bases, ["length", "grp"])
     rank = F.col("base") + F.col("place")
     slot = F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["ranks"]))[0]

@@ -23,7 +23,10 @@ EDGE = "kind int, bucket long, whole long, head long, tail long, check long, rid
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray, *families: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Word offsets of the rows, and the identifiers of all words in each family."""
+    """Word offsets of the rows, and the identifiers of all words in each family.
+
+    Families 0 and 1 are the halves of a word's 128-bit BLAKE2 digest, so no pattern inside words makes them agree.
+    """
     low = int(offsets[0])
     data, edges = data[low : int(offsets[-1])], offsets - low
     inside = ~_SPACE[data]
@@ -35,20 +38,14 @@ def word_units(data: np.ndarray, offsets: np.ndarray, *families: int) -> tuple[n
     last = edges[1:][edges[1:] > 0] - 1
     ends[last] |= inside[last]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    units = [np.empty(len(begins), dtype=np.uint64) for _ in families]
-    at = 0
-    while at < len(begins):
-        start = int(begins[at])
-        to = int(np.searchsorted(ends, start + W.PIECE, side="right"))
-        for out, family in zip(units, families, strict=True):
-            if to <= at:  # one word beyond a piece
-                digest = hashlib.blake2b(data[start : ends[at]].tobytes(), digest_size=8, salt=bytes([family]))
-                out[at] = int.from_bytes(digest.digest(), "little")
-            else:
-                sums = W.prefix(W.TABLES[family][data[start : ends[to - 1]]], family)
-                out[at:to] = W.ids_of(sums, begins[at:to] - start, ends[at:to] - start, family)
-        at = max(to, at + 1)
-    return np.searchsorted(begins, edges), units
+    stops = np.concatenate([[0], np.cumsum(ends - begins)])
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(begins), [None, pa.py_buffer(stops), pa.py_buffer(data[inside])]
+    ).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w.as_buffer(), digest_size=16).digest() for w in words.dictionary)
+    halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+    index = words.indices.to_numpy(zero_copy_only=False)
+    return np.searchsorted(begins, edges), [halves[index, family] for family in families]
 
 
 def _anchors(size: int, q: int):

@@ -10,6 +10,8 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from shelfwright.llm import chat, packing, queries
 from shelfwright.llm.tokens import VOCABULARY, encode, tokenizer
 
@@ -29,6 +31,23 @@ def test_ids_are_those_of_the_vocabulary(spark):
         assert encode(text).tolist() == library_ids(text), text
 
 
+def test_special_tokens_in_a_text(spark):
+    loaded = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    texts = ["<|endoftext|>", "a <|endoftext|>b<|endoftext|>", "é <|endoftext|>", "日 <|endoftext|>", "<|endoftext |>"]
+    for text in texts:
+        assert encode(text, plain=False).tolist() == loaded.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.pack(docs, with_ids=True).collect()}
+    assert got == {i: [*loaded.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [50256, 0]
+
+
+def test_a_document_repeated_many_times(spark):
+    docs = spark.createDataFrame([(5, "one two three")] * 3000 + [(i, "x " * (i % 90)) for i in range(600)], "doc_id long, text string")
+    packed = packing.pack(docs, limit=64).collect()
+    check_packed(packed, [(r.doc_id, r.text) for r in docs.collect()], 64)
+
+
 @given(st.text(st.characters(codec="latin-1"), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_ids_of_any_latin_text(text):

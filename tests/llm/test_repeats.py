@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from shelfwright.llm import queries, simhash, substrings, suffixes
+from shelfwright.llm import queries, shingles, simhash, substrings, suffixes, windows
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +96,22 @@ def test_words_beyond_a_piece(spark):
     assert got == {1: (400_001, tail), 2: (3 + tail, tail), 3: (7, 0)}
 
 
+def test_words_that_differ_by_a_pattern(spark):
+    """Thue-Morse words cancel in any polynomial modulo a power of two; no sequence of 35 words repeats here."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"c{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{common} {one}"), (2, f"{common} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_spans(docs, size=35).collect()] == [0, 0]
+    texts = [" ".join([one] * 3 + [f"x{i}" for i in range(20)]), " ".join([other] * 3 + [f"x{i}" for i in range(20)])]
+    docs = spark.createDataFrame([(1, one), (2, other), (3, texts[0]), (4, texts[1])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.representatives(docs).collect()) == [1, 2, 3, 4]
+    at, (units,) = substrings.word_units(*windows.raw(pa.array([one, other, one])), 0)
+    assert at.tolist() == [0, 1, 2, 3] and units[0] == units[2] != units[1]
+
+
 def test_words_of_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in queries.QUERIES["op3_substrings"](spark, SF).collect())
