@@ -1,136 +1,74 @@
-"""CSS selectors as Column predicates over the node array of a parsed page."""
+"""What selectors found on a parsed page, as Column expressions."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwright.functions import js
+from shelfwright.functions.selectors import Automaton, has_slot
 
-_PART = re.compile(
-    r"(?P<tag>^[a-z][a-z0-9-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)"
-    r"|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]"
-    r"|:nth-last-child\((?P<nth>\d+)\)|:(?P<last>last-child)"
-)
-
-
-def _simple(part: str, n: Column) -> Column:
-    """Test of one compound selector such as ``a.next[rel='x']``."""
-    tests, end = [], 0
-    for m in _PART.finditer(part):
-        if m.start() != end:
-            break
-        end = m.end()
-        if m["tag"]:
-            tests.append(n["tag"] == m["tag"])
-        elif m["cls"]:
-            tests.append(F.array_contains(n["classes"], m["cls"]))
-        elif m["id"]:
-            tests.append(n["attrs"]["id"] == m["id"])
-        elif m["attr"]:
-            value = n["attrs"][m["attr"]]
-            if m["op"] is None:
-                tests.append(value.isNotNull())
-            elif m["op"] == "=":
-                tests.append(value == m["val"])
-            elif m["op"] == "*=":
-                tests.append(value.contains(m["val"]))
-            elif m["op"] == "^=":
-                tests.append(value.startswith(m["val"]))
-            else:
-                tests.append(value.endswith(m["val"]))
-        else:
-            tests.append(n["from_end"] == int(m["nth"] or 1))
-    if end != len(part) or not tests:
-        raise ValueError(f"selector not supported: {part!r}")
-    test = tests[0]
-    for t in tests[1:]:
-        test = test & t
-    return F.coalesce(test, F.lit(False))
-
-
-def _split(selector: str, marks: str) -> list[str]:
-    """Split at the marks, but not inside brackets."""
-    out, depth, cur = [], 0, ""
-    for ch in selector:
-        depth += (ch == "[") - (ch == "]")
-        if depth == 0 and ch in marks:
-            out += [cur, ch]
-            cur = ""
-        else:
-            cur += ch
-    return out + [cur]
-
-
-def _chain(tokens: list[str], nodes: Column, n: Column) -> Column:
-    """Test of a selector chain read from its right end."""
-    test = _simple(tokens[-1], n)
-    if len(tokens) == 1:
-        return test
-    how, rest = tokens[-2], tokens[:-2]
-    if how == "+":
-        near = F.get(nodes, n["prev"])
-        return test & F.when(n["prev"] >= 0, _chain(rest, nodes, near)).otherwise(False)
-    if how == "~":
-        # Earlier siblings lie between the parent and the node.
-        before = F.slice(nodes, n["parent"] + 2, n["i"] - n["parent"] - 1)
-        return test & F.exists(
-            before, lambda s: (s["parent"] == n["parent"]) & _chain(rest, nodes, s)
-        )
-    if how == ">":
-        up = F.get(nodes, n["parent"])
-        return test & F.when(n["parent"] >= 0, _chain(rest, nodes, up)).otherwise(False)
-    # Ancestors are the earlier nodes that reach as far as this one.
-    above = F.slice(nodes, F.lit(1), n["i"])
-    return test & F.exists(above, lambda a: (a["last"] >= n["i"]) & _chain(rest, nodes, a))
-
-
-def matches(selector: str, nodes: Column, n: Column) -> Column:
-    """Whether node ``n`` fits a selector: tag, class, id, attribute, list and combinators."""
-    test = None
-    for alternative in _split(selector, ",")[::2]:
-        tight = re.sub(r"\s*([>+~])\s*", r"\1", alternative.strip())
-        tokens = [t for t in _split(tight, " >+~") if t != ""]
-        one = _chain(tokens, nodes, n)
-        test = one if test is None else test | one
-    return test
-
-
-def select(page: Column, selector: str, within: Column | None = None) -> Column:
-    """Matching nodes in document order; ``within`` looks at the descendants of one node only."""
-    nodes = page["nodes"]
-    scope = nodes
-    if within is not None:
-        scope = F.slice(nodes, within["i"] + 2, within["last"] - within["i"])
-    return F.filter(scope, lambda n: matches(selector, nodes, n))
 
+class Page:
+    """A page in expressions; it notes the selectors asked for, which the parse then runs all at once."""
 
-def closest(page: Column, selector: str, n: Column) -> Column:
-    """The node itself or its nearest ancestor that fits; null when none does."""
-    nodes = page["nodes"]
-    upward = F.slice(nodes, F.lit(1), n["i"] + 1)
-    hits = F.filter(upward, lambda a: (a["last"] >= n["i"]) & matches(selector, nodes, a))
-    return F.try_element_at(hits, F.lit(-1))
+    def __init__(self, column: str = "page"):
+        self.column = F.col(column)
+        self.selectors: dict[str, int] = {}
+
+    @property
+    def text(self) -> Column:
+        return self.column["text"]
 
+    def hits(self, selector: str) -> Column:
+        """Elements that the selector fits, in document order. Asking a page parsed without it is an error."""
+        if selector not in self.selectors:
+            if not selector.strip():
+                raise ValueError("selector is empty")
+            if not has_slot(selector):
+                Automaton([selector])
+            self.selectors[selector] = len(self.selectors)
+        return F.element_at(self.column["hits"], self.selectors[selector] + 1)
 
-def next_sibling(page: Column, n: Column) -> Column:
-    return js.let(
-        F.get(page["nodes"], n["last"] + 1), lambda s: F.when(s["prev"] == n["i"], s)
-    )
 
+def select(page: Page, selector: str, within: Column | None = None) -> Column:
+    """Matching nodes in document order; ``within`` looks at the descendants of one node only."""
+    found = page.hits(selector)
+    if within is None:
+        return found
+    return F.filter(found, lambda n: (n["i"] > within["i"]) & (n["i"] <= within["last"]))
+
+
+def closest(page: Page, selector: str, n: Column) -> Column:
+    """The node itself or its nearest ancestor that fits; null when none does."""
+    above = F.filter(page.hits(selector), lambda a: (a["i"] <= n["i"]) & (a["last"] >= n["i"]))
+    return F.try_element_at(above, F.lit(-1))
 
-def first_hits(page: Column, selectors: list[str]) -> Column:
+
+def first_hits(page: Page, selectors: list[str]) -> Column:
     """Nodes of the first selector that matches at all; null when none does."""
     return F.coalesce(*[F.when(has(page, s), select(page, s)) for s in selectors])
 
 
-def raw_text(page: Column, n: Column) -> Column:
-    return js.let(n, lambda x: F.substr(page["text"], x["t0"] + 1, x["t1"] - x["t0"]))
+def _slice(page: Page, start: Column, stop: Column) -> Column:
+    return F.substr(page.text, start + 1, stop - start)
+
+
+def raw_text(page: Page, n: Column) -> Column:
+    return js.let(n, lambda x: _slice(page, x["t0"], x["t1"]))
+
+
+def text_before(page: Page, n: Column) -> Column:
+    """Text of the sibling in front of a node; null without one."""
+    return js.let(n, lambda x: _slice(page, x["p0"], x["p1"]))
+
+
+def text_behind(page: Page, n: Column) -> Column:
+    """Text of the sibling behind a node; null without one."""
+    return js.let(n, lambda x: _slice(page, x["n0"], x["n1"]))
 
 
-def node_text(page: Column, n: Column) -> Column:
+def node_text(page: Page, n: Column) -> Column:
     return js.trim(raw_text(page, n))
 
 
@@ -138,30 +76,29 @@ def _not_blank(c: Column) -> Column:
     return js.let(c, lambda t: F.when(t != "", t))
 
 
-def select_text(page: Column, selector: str, within: Column | None = None) -> Column:
+def select_text(page: Page, selector: str, within: Column | None = None) -> Column:
     """Trimmed text of the first match; null when there is none or it is empty."""
     return _not_blank(node_text(page, F.get(select(page, selector, within), F.lit(0))))
 
 
-def select_attr(page: Column, selector: str, attr: str, within: Column | None = None) -> Column:
+def select_attr(page: Page, selector: str, attr: str, within: Column | None = None) -> Column:
     first = F.get(select(page, selector, within), F.lit(0))
     return _not_blank(first["attrs"][attr])
 
 
-def select_texts(page: Column, selector: str, within: Column | None = None) -> Column:
+def select_texts(page: Page, selector: str, within: Column | None = None) -> Column:
     texts = F.transform(select(page, selector, within), lambda n: node_text(page, n))
     return F.filter(texts, lambda t: t != "")
 
 
-def select_attrs(page: Column, selector: str, attr: str, within: Column | None = None) -> Column:
+def select_attrs(page: Page, selector: str, attr: str, within: Column | None = None) -> Column:
     values = F.transform(select(page, selector, within), lambda n: n["attrs"][attr])
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
-def has(page: Column, selector: str) -> Column:
-    nodes = page["nodes"]
-    return F.exists(nodes, lambda n: matches(selector, nodes, n))
+def has(page: Page, selector: str) -> Column:
+    return F.size(page.hits(selector)) > 0
 
 
-def has_any(page: Column, selectors: list[str]) -> Column:
+def has_any(page: Page, selectors: list[str]) -> Column:
     return has(page, ", ".join(selectors))

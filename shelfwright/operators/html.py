@@ -1,20 +1,25 @@
-"""Fetched HTML to an array of elements per page.
+"""Fetched HTML to what selectors find in it.
 
-This is the one place where Python reads page content: an Arrow UDF that works on column batches. A page
-stays one row. Element text is kept as a slice of the page text, so a page's text is stored once however
-deep its elements nest. Everything that reads the result is a Catalyst expression.
+This is the one place where Python reads page content: an Arrow UDF that works on column batches. It reads the elements of a
+page once, runs all selectors over them, and hands on only the elements that some selector fits. A page stays one row.
+Element text is kept as a slice of the page text, so a page's text is stored once however deep its elements
+nest. Everything that reads the result is a Catalyst expression.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright import schemas
+from shelfwright.functions.nodes import Page
+from shelfwright.functions.selectors import Automaton, filled
 
 # Elements without content.
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -36,115 +41,163 @@ _CLOSED_BY = {
     "thead": {"tbody", "tfoot"},
     "tbody": {"tbody", "tfoot"},
 }
+_CLOSERS = set().union(*_CLOSED_BY.values())
 # Implied end tags do not reach past these.
 _FENCES = {"table", "ul", "ol", "dl", "select", "button", "td", "th", "div", "body", "html"}
+#: Different sites whose selectors a worker keeps compiled.
+COMPILED = 4096
 
 
-class _Page(HTMLParser):
-    def __init__(self):
+class ParsedPage(HTMLParser):
+    """The elements of a page as lists, in document order, and its text."""
+
+    def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
-        self.last_child: dict[int, int] = {}
-        self.text: list[str] = []
-        self.size = 0
+        self.tags: list[str] = []
+        self.attrs: list[dict[str, str]] = []
+        self.parents: list[int] = []
+        self.prevs: list[int] = []
+        self.from_end: list[int] = []
+        self.last: list[int] = []
+        self.t0: list[int] = []
+        self.t1: list[int] = []
+        self._open: list[int] = []
+        self._last_child: dict[int, int] = {}
+        self._parts: list[str] = []
+        self._size = 0
+        self.feed(html or "")
+        self.close()
+        self._close(0)
+        for i in range(len(self.tags) - 1, -1, -1):
+            if self.prevs[i] >= 0:
+                self.from_end[self.prevs[i]] = self.from_end[i] + 1
+        self.text = "".join(self._parts)
 
     def _close(self, depth: int) -> None:
-        while len(self.open) > depth:
-            node = self.nodes[self.open.pop()]
-            node["t1"] = self.size
-            node["last"] = len(self.nodes) - 1
+        while len(self._open) > depth:
+            node = self._open.pop()
+            self.t1[node] = self._size
+            self.last[node] = len(self.tags) - 1
 
     def _imply_ends(self, tag: str) -> None:
-        k = len(self.open) - 1
+        k = len(self._open) - 1
         while k >= 0:
-            name = self.nodes[self.open[k]]["tag"]
+            name = self.tags[self._open[k]]
             if tag in _CLOSED_BY.get(name, ()):
                 self._close(k)
             elif name in _FENCES and not (tag in ("tr", "tbody") and name in ("td", "th")):
                 return
-            k = min(k, len(self.open)) - 1
+            k = min(k, len(self._open)) - 1
 
     def handle_starttag(self, tag, attrs):
-        self._imply_ends(tag)
-        i = len(self.nodes)
-        parent = self.open[-1] if self.open else -1
+        if tag in _CLOSERS:
+            self._imply_ends(tag)
+        i = len(self.tags)
+        parent = self._open[-1] if self._open else -1
         values: dict[str, str] = {}
         for name, value in attrs:
             values.setdefault(name, value or "")
-        self.nodes.append(
-            {
-                "i": i, "parent": parent, "prev": self.last_child.get(parent, -1), "from_end": 1,
-                "tag": tag, "classes": values.get("class", "").split(), "attrs": values,
-                "t0": self.size, "t1": self.size, "last": i,
-            }
-        )
-        self.last_child[parent] = i
+        self.tags.append(tag)
+        self.attrs.append(values)
+        self.parents.append(parent)
+        self.prevs.append(self._last_child.get(parent, -1))
+        self.from_end.append(1)
+        self.last.append(i)
+        self.t0.append(self._size)
+        self.t1.append(self._size)
+        self._last_child[parent] = i
         if tag not in _VOID:
-            self.open.append(i)
+            self._open.append(i)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
+        for k in range(len(self._open) - 1, -1, -1):
+            if self.tags[self._open[k]] == tag:
                 self._close(k)
                 return
 
     def handle_data(self, data):
-        self.text.append(data)
-        self.size += len(data)
-
-    def result(self) -> dict:
-        self.close()
-        self._close(0)
-        for node in reversed(self.nodes):
-            if node["prev"] >= 0:
-                self.nodes[node["prev"]]["from_end"] = node["from_end"] + 1
-        return {"text": "".join(self.text), "nodes": self.nodes}
-
-
-def parse_html(html: str | None) -> dict:
-    """Text and nodes of one page."""
-    page = _Page()
-    page.feed(html or "")
-    return page.result()
-
-
-def _lists(values: list[list], dtype: pa.DataType) -> pa.ListArray:
-    offsets = pa.array(np.cumsum([0] + [len(v) for v in values]), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array([x for v in values for x in v], dtype))
-
-
-@F.arrow_udf(schemas.PARSED_PAGE)
-def _parse(html: pa.Array) -> pa.Array:
-    pages = [parse_html(h) for h in html.to_pylist()]
-    nodes = [n for page in pages for n in page["nodes"]]
-    columns = {
-        name: pa.array([n[name] for n in nodes], pa.int32())
-        for name in ["i", "parent", "prev", "from_end", "last", "t0", "t1"]
-    }
-    columns["tag"] = pa.array([n["tag"] for n in nodes], pa.string())
-    columns["classes"] = _lists([n["classes"] for n in nodes], pa.string())
-    attrs = [n["attrs"] for n in nodes]
-    columns["attrs"] = pa.MapArray.from_arrays(
+        self._parts.append(data)
+        self._size += len(data)
+
+
+def _hits_of(pages: list[tuple[ParsedPage, list[list[int]]]]) -> pa.Array:
+    """The elements found on each page, as a list for each selector."""
+    columns: dict[str, list[int]] = {name: [] for name in schemas.HIT.fieldNames() if name != "attrs"}
+    attrs: list[dict[str, str]] = []
+    outer, inner = [0], [0]
+    for page, hits in pages:
+        total = len(page.tags)
+        for found in hits:
+            for i in found:
+                prev, follower = page.prevs[i], page.last[i] + 1
+                if follower >= total or page.prevs[follower] != i:
+                    follower = -1
+                columns["i"].append(i)
+                columns["last"].append(page.last[i])
+                columns["t0"].append(page.t0[i])
+                columns["t1"].append(page.t1[i])
+                columns["p0"].append(page.t0[prev] if prev >= 0 else None)
+                columns["p1"].append(page.t1[prev] if prev >= 0 else None)
+                columns["n0"].append(page.t0[follower] if follower >= 0 else None)
+                columns["n1"].append(page.t1[follower] if follower >= 0 else None)
+                attrs.append(page.attrs[i])
+            inner.append(len(attrs))
+        outer.append(len(inner) - 1)
+    arrays = {name: pa.array(values, pa.int32()) for name, values in columns.items()}
+    arrays["attrs"] = pa.MapArray.from_arrays(
         pa.array(np.cumsum([0] + [len(a) for a in attrs]), pa.int32()),
         pa.array([k for a in attrs for k in a], pa.string()),
         pa.array([v for a in attrs for v in a.values()], pa.string()),
     )
-    order = schemas.NODE.fieldNames()
-    flat = pa.StructArray.from_arrays([columns[name] for name in order], order)
-    offsets = pa.array(np.cumsum([0] + [len(page["nodes"]) for page in pages]), pa.int32())
-    return pa.StructArray.from_arrays(
-        [
-            pa.array([page["text"] for page in pages], pa.string()),
-            pa.ListArray.from_arrays(offsets, flat),
-        ],
-        ["text", "nodes"],
-    )
+    order = schemas.HIT.fieldNames()
+    flat = pa.StructArray.from_arrays([arrays[name] for name in order], order)
+    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat)
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)
+
+
+def _selecting(sheets: Mapping[str, Sequence[str]]):
+    """UDF over (html, sheet, configured selectors as JSON)."""
+    compiled: dict[tuple[str, str | None], Automaton] = {}
+
+    def automaton(sheet: str, configured: str | None) -> Automaton:
+        key = (sheet, configured)
+        if key not in compiled:
+            if len(compiled) >= COMPILED:
+                compiled.clear()
+            values = json.loads(configured) if configured else {}
+            compiled[key] = Automaton([filled(s, values) for s in sheets.get(sheet, ())])
+        return compiled[key]
+
+    @F.arrow_udf(schemas.PARSED_PAGE)
+    def run(html: pa.Array, sheet: pa.Array, configured: pa.Array) -> pa.Array:
+        pages = []
+        for text, name, values in zip(html, sheet, configured, strict=True):
+            page = ParsedPage(text.as_py())
+            pages.append((page, automaton(name.as_py(), values.as_py()).hits(page)))
+        return pa.StructArray.from_arrays(
+            [pa.array([page.text for page, _ in pages], pa.string()), _hits_of(pages)], ["text", "hits"]
+        )
 
+    return run
 
-def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """Replace the HTML column by ``page``: struct of text and nodes in document order."""
-    return df.withColumn("page", _parse(F.col(html_col))).drop(html_col)
+
+def parse_pages(
+    df: DataFrame, page: Page | Mapping[str, Page], html_col: str = "html", sheet: Column | None = None,
+    configured: Column | None = None,
+) -> DataFrame:
+    """Replace the HTML column by ``page``: a struct of the text and of the elements that selectors fit.
+
+    The selectors are those that expressions have asked ``page`` for so far, so build the expressions first. With several
+    readers, ``sheet`` names the one of a row. ``configured`` (JSON) fills the slots of a row's selectors: sites that differ in
+    nothing but selectors share all expressions. Each row is one page; null HTML is a page without elements.
+    """
+    sheets = {name: list(p.selectors) for name, p in (page if isinstance(page, Mapping) else {"": page}).items()}
+    run = _selecting(sheets)
+    parsed = run(
+        F.col(html_col), F.lit("") if sheet is None else F.coalesce(sheet, F.lit("")),
+        F.lit(None).cast("string") if configured is None else configured,
+    )
+    return df.withColumn("page", parsed).drop(html_col)

@@ -26,8 +26,11 @@ def fetched(spark, sf):
     return read_pages(spark, f"{sf.rstrip('/')}/pages.parquet")
 
 
-def parsed(df):
-    return parse_pages(df)
+def read(df, build):
+    """``build`` makes the result columns of a parsed page; their selectors run at the parse."""
+    page = nodes.Page()
+    columns = build(page)
+    return parse_pages(df, page).select(*columns)
 
 
 def _decode(c: str) -> str:
@@ -43,14 +46,13 @@ FROM pages
 """)
 def page_select(spark, sf):
     """First text, all texts and all attribute values of selectors."""
-    p = F.col("page")
-    return parsed(fetched(spark, sf)).select(
+    return read(fetched(spark, sf), lambda p: [
         "page_id",
         nodes.select_text(p, "title").alias("title"),
         nodes.select_text(p, "article h1").alias("heading"),
         F.array_join(nodes.select_attrs(p, "nav a", "href"), "|").alias("links"),
         F.array_join(nodes.select_texts(p, "nav ul li a"), "|").alias("labels"),
-    )
+    ])
 
 
 @query("""
@@ -60,14 +62,13 @@ SELECT page_id, nullif(regexp_extract(html, '<a href="([^"]*)"', 1), '') AS firs
 FROM pages
 """)
 def page_counts(spark, sf):
-    p = F.col("page")
-    return parsed(fetched(spark, sf)).select(
+    return read(fetched(spark, sf), lambda p: [
         "page_id",
         nodes.select_attr(p, "a", "href").alias("first_link"),
         F.size(nodes.select(p, "p")).cast("bigint").alias("paragraphs"),
         F.size(nodes.select(p, "nav > ul > li")).cast("bigint").alias("items"),
         F.size(nodes.select(p, "div.ad")).cast("bigint").alias("ads"),
-    )
+    ])
 
 
 _BLOCK_SQL = " ".join(
@@ -86,8 +87,8 @@ SELECT page_id, CASE {_BLOCK_SQL} WHEN contains(u, 'challenge') OR contains(u, '
   THEN 'Challenge/verification page detected' END AS reason FROM p
 """)
 def page_blocked(spark, sf):
-    title = nodes.select_text(F.col("page"), "title")
-    return ops.detect_blocked(parsed(fetched(spark, sf)), title).select("page_id", "reason")
+    titled = read(fetched(spark, sf), lambda p: ["page_id", "url", nodes.select_text(p, "title").alias("title")])
+    return ops.detect_blocked(titled, F.col("title")).select("page_id", "reason")
 
 
 @query(f"""
@@ -101,12 +102,9 @@ def page_product_links(spark, sf):
     """Product links of fetched pages by the generic rules."""
     site = F.concat(urls.url_protocol(F.col("url")), F.lit("//"), urls.url_host(F.col("url")))
     reader = GenericAdapter(site=F.lit("any"), base_url=F.col("base_url"))
-    found = reader.discover(F.col("url"), F.col("page"))
-    return (
-        parsed(fetched(spark, sf).withColumn("base_url", site))
-        .select("page_id", F.size(found["product_urls"]).cast("bigint").alias("n_links"))
-        .filter("n_links > 0")
-    )
+    return read(fetched(spark, sf).withColumn("base_url", site), lambda p: [
+        "page_id", F.size(reader.discover(F.col("url"), p)["product_urls"]).cast("bigint").alias("n_links")
+    ]).filter("n_links > 0")
 
 
 def _join(*parts):
@@ -121,6 +119,12 @@ def _present(record):
     return F.explode(F.array_compact(F.array(record)))
 
 
+def _extracted(pages, reader):
+    """The product of each page by a reader, where it finds one."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    return read(pages, lambda p: ["p_partkey", _present(reader.extract(F.col("url"), p, as_of)).alias("p")])
+
+
 # --- product pages written from parts ------------------------------------------------------------
 
 
@@ -175,8 +179,7 @@ FROM part
 """)
 def extract_shopify(spark, sf):
     reader = ShopifyAdapter({}, {}, F.col("site"), F.lit("https://acme.example.com"))
-    product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(shopify_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    found = _extracted(shopify_pages(spark, sf), reader)
     return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.category", "p.price.regular", "p.price.sale",
         F.col("p.price.discount_percentage").alias("discount"), "p.availability.in_stock",
@@ -216,9 +219,9 @@ FROM part
 def extract_raw_shopify(spark, sf):
     """Raw records of product pages, then the normaliser."""
     reader = ShopifyAdapter({}, {}, F.col("site"), F.lit("https://acme.example.com"))
-    raw = parsed(shopify_pages(spark, sf)).select(
-        "p_partkey", _present(reader.extract_raw(F.col("url"), F.col("page"))).alias("r")
-    )
+    raw = read(shopify_pages(spark, sf), lambda p: [
+        "p_partkey", _present(reader.extract_raw(F.col("url"), p)).alias("r")
+    ])
     records = raw.select("p_partkey", "r.*")
     # Two amounts in one price text run together in the numeric price, up to the second point.
     products = normalize_products(records, "acme", AS_OF, ["p_partkey"])
@@ -240,12 +243,12 @@ SELECT p_partkey, p_size % 5 > 0 AS in_stock, 3 AS n_variants, 3 AS n_images, 4
 """)
 def page_parts(spark, sf):
     """Stock, variants, images, specifications and description of a page, each on its own."""
-    p, u = F.col("page"), F.col("url")
+    u = F.col("url")
 
     def n(c):
         return F.size(c).cast("bigint")
 
-    return parsed(shopify_pages(spark, sf)).select(
+    return read(shopify_pages(spark, sf), lambda p: [
         "p_partkey",
         page_in_stock(p).alias("in_stock"),
         n(page_variants(p, F.lit("x"))).alias("n_variants"),
@@ -253,7 +256,7 @@ def page_parts(spark, sf):
         n(raw_variants(p)).alias("n_raw"),
         n(extract_specs(p)).alias("n_specs"),
         (F.length(page_description(p)) > 100).alias("long_text"),
-    )
+    ])
 
 
 def mcas_pages(spark, sf):
@@ -307,8 +310,7 @@ FROM part
 """)
 def extract_mcas(spark, sf):
     reader = McasAdapter({}, {}, F.col("site"), F.lit("https://mega.example.com"))
-    product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(mcas_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    found = _extracted(mcas_pages(spark, sf), reader)
     return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.category", "p.price.regular", "p.price.sale",
         "p.availability.in_stock", F.col("p.availability.quantity").cast("int").alias("quantity"),
@@ -377,8 +379,7 @@ FROM part WHERE p_size % 3 < 2
 @query(GENERIC_SQL)
 def extract_generic(spark, sf):
     reader = GenericAdapter({}, {}, F.col("site"), F.lit("https://other.example.com"))
-    product = reader.extract(F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp"))
-    found = parsed(generic_pages(spark, sf)).select("p_partkey", _present(product).alias("p"))
+    found = _extracted(generic_pages(spark, sf), reader)
     return found.select(
         "p_partkey", "p.id", "p.name", "p.brand", "p.sku", "p.price.regular", "p.price.sale",
         "p.availability.in_stock",
@@ -394,12 +395,12 @@ SELECT p_partkey, p_size % 3 = 0 AS structured, p_size % 3 = 1 AS loose FROM par
 def extract_generic_parts(spark, sf):
     """Which of the two generic ways finds a product."""
     reader = GenericAdapter({}, {}, F.col("site"), F.lit("https://other.example.com"))
-    u, p, now = F.col("url"), F.col("page"), F.lit(AS_OF).cast("timestamp")
-    return parsed(generic_pages(spark, sf)).select(
+    u, now = F.col("url"), F.lit(AS_OF).cast("timestamp")
+    return read(generic_pages(spark, sf), lambda p: [
         "p_partkey",
         reader.extract_jsonld(u, p, now).isNotNull().alias("structured"),
         reader.extract_heuristic(u, p, now).isNotNull().alias("loose"),
-    )
+    ])
 
 
 # --- listing pages written from orders -----------------------------------------------------------
@@ -485,7 +486,7 @@ links AS (
 
 def _typed_listings(spark, sf):
     routed = ops.route_by_site(listing_pages(spark, sf), ops.site_table(spark, CONFIGS))
-    return ops.with_page_type(parse_pages(routed), CONFIGS)
+    return ops.with_page_type(ops.parse_for(routed, CONFIGS, ("page_type", "discover")), CONFIGS)
 
 
 @query(f"""
@@ -636,16 +637,13 @@ def page_types(spark, sf):
         F.array(*map(F.lit, ["/products/x", "/collections/x", "/search?q=x", "/x"])),
         (F.col("page_id") % 4 + 1).cast("int"),
     )
-    df = parsed(
-        fetched(spark, sf).select(
-            "page_id", "html", F.concat(origin, path).alias("url"), origin.alias("base_url")
-        )
+    df = fetched(spark, sf).select(
+        "page_id", "html", F.concat(origin, path).alias("url"), origin.alias("base_url")
     )
-    u, p = F.col("url"), F.col("page")
     readers = {"shopify": ShopifyAdapter, "mcas": McasAdapter, "generic": GenericAdapter}
-    return df.select(
-        "page_id", *[cls().page_type(u, p).alias(name) for name, cls in readers.items()]
-    )
+    return read(df, lambda p: [
+        "page_id", *[cls().page_type(F.col("url"), p).alias(name) for name, cls in readers.items()]
+    ])
 
 
 @query("""

@@ -81,11 +81,8 @@ LOG_ENTRY = _struct(timestamp=TS, level=STR, message=STR, context=STR, source=ST
 METRIC_POINT = _struct(name=STR, type=STR, value=DBL, timestamp=TS, tags=STRING_MAP)
 REQUEST = _struct(site=STR, success=BOOL, response_ms=DBL, data_extracted=LNG, ts=TS)
 
-# One element of a parsed page, in document order. ``last`` is its last descendant; its text is
-# the slice [t0, t1) of the page text. A node's ancestors are those
-# before it whose ``last`` is not before it.
-NODE = _struct(
-    i=INT, parent=INT, prev=INT, from_end=INT, last=INT, tag=STR, classes=STRINGS, attrs=STRING_MAP,
-    t0=INT, t1=INT,
-)
-PARSED_PAGE = _struct(text=STR, nodes=T.ArrayType(NODE))
+# An element of a page that a selector fits, with its place in the document. ``last`` is its last descendant; its text is the
+# slice [t0, t1) of the page text, and those of the siblings before and behind it are [p0, p1) and [n0, n1).
+HIT = _struct(i=INT, last=INT, attrs=STRING_MAP, t0=INT, t1=INT, p0=INT, p1=INT, n0=INT, n1=INT)
+# One list of elements for each selector.
+PARSED_PAGE = _struct(text=STR, hits=T.ArrayType(T.ArrayType(HIT)))

@@ -1,13 +1,17 @@
 """Parsing, selectors and page readers on hand-made pages."""
 
 import datetime
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.functions import nodes
+from shelfwright.functions.selectors import Automaton, filled, has_slot, slot
 from shelfwright.operators import pages as ops
-from shelfwright.operators.html import parse_html, parse_pages
+from shelfwright.operators.html import ParsedPage, parse_pages
 
 NOW = datetime.datetime(2025, 1, 15, 10, 0)
 CONFIGS = [
@@ -18,8 +22,8 @@ CONFIGS = [
 
 
 def test_implied_end_tags():
-    page = parse_html("<ul><li>a<li>b<ul><li>c</ul></ul><p>x<p>y<b>z<div>w</div><table><tr><td>1<td>2<tr><td>3</table>")
-    shape = [(n["tag"], page["text"][n["t0"] : n["t1"]]) for n in page["nodes"]]
+    page = ParsedPage("<ul><li>a<li>b<ul><li>c</ul></ul><p>x<p>y<b>z<div>w</div><table><tr><td>1<td>2<tr><td>3</table>")
+    shape = [(tag, page.text[a:b]) for tag, a, b in zip(page.tags, page.t0, page.t1, strict=True)]
     assert shape == [
         ("ul", "abc"), ("li", "a"), ("li", "bc"), ("ul", "c"), ("li", "c"), ("p", "x"), ("p", "yz"), ("b", "z"),
         ("div", "w"), ("table", "123"), ("tr", "12"), ("td", "1"), ("td", "2"), ("tr", "3"), ("td", "3"),
@@ -27,9 +31,9 @@ def test_implied_end_tags():
 
 
 def test_script_and_entities():
-    page = parse_html('<script>var t="</p>";</script><p title="a&amp;b">x &lt; y<!-- no --></p>')
-    assert page["text"] == 'var t="</p>";x < y'
-    assert page["nodes"][1]["attrs"] == {"title": "a&b"}
+    page = ParsedPage('<script>var t="</p>";</script><p title="a&amp;b">x &lt; y<!-- no --></p>')
+    assert page.text == 'var t="</p>";x < y'
+    assert page.attrs[1] == {"title": "a&b"}
 
 
 @pytest.mark.parametrize(
@@ -45,8 +49,10 @@ def test_selectors(spark, selector, hits):
         '<div class="out"><h1>t</h1><ul><li class="a b">1</li><li data-k="v w">2</li></ul><p id="x"></p>'
         '<ul class="a"></ul></div><ul><li>3</li></ul><ol><li>4</li></ol>'
     )
-    df = parse_pages(spark.createDataFrame([(html,)], "html string"))
-    assert df.select(F.size(nodes.select(F.col("page"), selector))).first()[0] == hits
+    page = nodes.Page()
+    found = F.size(nodes.select(page, selector))
+    df = parse_pages(spark.createDataFrame([(html,)], "html string"), page)
+    assert df.select(found).first()[0] == hits
 
 
 def run(spark, site, path, html):
@@ -149,14 +155,137 @@ def test_route_by_url_both_ways(spark):
                 assert got[0][i] == site, (i, used, kind)
 
 
-def test_deep_nesting_is_linear(spark):
-    """8,000 nested elements: no list of ancestors is kept, and selectors still see them."""
-    from shelfwright.functions import nodes
-    from shelfwright.operators.html import parse_html, parse_pages
+def fits(page, i, parts, marks):
+    """A chain tested at one element by looking at all elements that its last combinator may mean."""
+    tag, attrs, place = page.tags[i], page.attrs[i], page.from_end[i]
+    for name, value in re.findall(r"([.#:]?)([\w-]+)", parts[-1]):
+        if name == "." and value not in attrs.get("class", "").split():
+            return False
+        if name == "#" and attrs.get("id") != value:
+            return False
+        if name == ":" and place != 1:
+            return False
+        if not name and tag != value:
+            return False
+    if not marks:
+        return True
+    parent, before = page.parents[i], [j for j in range(i) if page.parents[j] == page.parents[i]]
+    above, up = [], parent
+    while up >= 0:
+        above.append(up)
+        up = page.parents[up]
+    where = {" ": above, ">": above[:1], "+": before[-1:], "~": before}[marks[-1]]
+    return any(fits(page, j, parts[:-1], marks[:-1]) for j in where)
 
-    html = "<div>" * 8000 + "<b class='x'>deep</b>" + "</div>" * 8000
-    parsed = parse_html(html)
-    assert len(parsed["nodes"]) == 8001 and all(not isinstance(v, list) or len(v) < 2 for v in parsed["nodes"][-1].values())
-    page = parse_pages(spark.createDataFrame([(html,)], "html string"))
-    got = page.select(nodes.select_text(F.col("page"), "div b.x").alias("x")).first()
-    assert got["x"] == "deep"
+
+def test_automaton_equals_search_in_the_document():
+    rng = random.Random(11)
+    tags, classes = ["a", "b", "c"], ["x", "y"]
+
+    def tree(depth):
+        tag = rng.choice(tags)
+        attrs = rng.choice(["", f' class="{rng.choice(classes)}"', ' class="x y"', f' id="{rng.choice("pq")}"'])
+        inner = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
+    def simple():
+        return rng.choice([rng.choice(tags), "." + rng.choice(classes), "#" + rng.choice("pq"), rng.choice(tags) + ".x",
+                           rng.choice(tags) + ":last-child", ".x.y"])
+
+    for _ in range(60):
+        page = ParsedPage("".join(tree(4) for _ in range(2)))
+        chains = []
+        for _ in range(25):
+            n = rng.randint(1, 4)
+            chains.append(([simple() for _ in range(n)], [rng.choice(" >+~") for _ in range(n - 1)]))
+        written = ["".join(x for pair in zip(parts, [*marks, ""], strict=True) for x in pair) for parts, marks in chains]
+        written.append(" , ".join(written[:3]))
+        hits = Automaton(written).hits(page)
+        want = [[i for i in range(len(page.tags)) if fits(page, i, *chain)] for chain in chains]
+        want.append(sorted(set().union(*want[:3])))
+        assert hits == want
+
+
+@pytest.mark.parametrize("selector", ["", " ", "a >", "> a", "a[", "a:hover", "*"])
+def test_unsupported_selectors(selector):
+    with pytest.raises(ValueError):
+        nodes.Page().hits(selector)
+
+
+def test_slots_and_empty_alternatives():
+    assert filled(slot("price", ".p") + " b, " + slot("brand"), {"brand": ".z"}) == ".p b, .z"
+    assert has_slot(slot("x")) and not has_slot("a[href]")
+    page = ParsedPage("<i class=p><b>1</b></i><b>2</b>")
+    assert Automaton([filled(slot("price", ".p") + " b, " + slot("brand"), {}), filled(slot("brand"), {})]).hits(page) == [[1], []]
+
+
+def test_a_page_parsed_without_a_selector_is_an_error(spark):
+    page = nodes.Page()
+    first = nodes.select_text(page, "b")
+    df = parse_pages(spark.createDataFrame([("<b>x</b><i>y</i>",), (None,)], "html string"), page)
+    assert [r[0] for r in df.select(first).collect()] == ["x", None]
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        df.select(nodes.select_text(page, "i")).collect()
+
+
+def test_nested_pages_take_time_in_proportion():
+    """Deep nesting with descendant selectors: an element costs the same wherever it lies."""
+    selectors = ["div b.x", "div div div b", "body div .x ~ i", "div > b + i"]
+
+    def seconds(n):
+        html = "<div>" * n + "<b class='x'>deep</b><i></i>" + "</div>" * n
+        automaton = Automaton(selectors)
+        started = time.perf_counter()
+        page = ParsedPage(html)
+        hits = automaton.hits(page)
+        spent = time.perf_counter() - started
+        assert hits == [[n], [n], [], [n + 1]]
+        return spent
+
+    small, large = min(seconds(5000) for _ in range(3)), min(seconds(20_000) for _ in range(3))
+    assert large < 10 * small and large < 3
+
+
+def test_deep_page_in_spark(spark):
+    html = "<div>" * 20_000 + "<b class='x'>deep</b>" + "</div>" * 20_000
+    page = nodes.Page()
+    texts = [nodes.select_text(page, s).alias(f"x{i}") for i, s in enumerate(["div b.x", "div div b", "div > .x"])]
+    got = parse_pages(spark.createDataFrame([(html,)], "html string"), page).select(*texts).first()
+    assert list(got) == ["deep"] * 3
+
+
+def test_a_thousand_sites_share_their_expressions(spark):
+    """Each site has selectors of its own; they are data, so the plan does not grow with the sites."""
+    configs = [
+        {"name": f"s{i}", "base_url": f"https://s{i}.example.com", "adapter_type": ("shopify", "mcas", "generic")[i % 3],
+         "selectors": {"product_container": f".box{i}", "product_name": f".name{i}", "brand": f".brand{i}"},
+         "navigation": {"pagination_selector": f".next{i}"}, "limits": {"summaries": 1 + i % 2}}
+        for i in range(1000)
+    ]
+    rows = []
+    for i in (0, 1, 2, 300, 301, 302, 999):
+        word = "products" if i % 3 == 0 else "product"
+        path = ("collections", "category", "browse")[i % 3]
+        boxes = "".join(
+            f'<div class="box{i} product-item"><a href="/{word}/{k}">x</a><p class="name{i} product-name">N{k}</p></div>' for k in range(3)
+        )
+        rows.append((f"https://s{i}.example.com/{path}/x", f"s{i}", f'{boxes}<a class="next{i}" rel="next" href="/{path}/x?page=2">n</a>'))
+    pages = spark.createDataFrame(rows, "url string, site string, html string")
+    ops.process_pages(pages.limit(0), configs[:3], NOW).collect()
+    started = time.perf_counter()
+    outcomes = ops.process_pages(pages, configs, NOW)
+    outcomes._jdf.queryExecution().executedPlan()
+    planning = time.perf_counter() - started
+    got = {r.site: r for r in outcomes.collect()}
+    for url, site, _ in rows:
+        i = int(site[1:])
+        assert got[site].page_type == "collection"
+        assert [u.rsplit("/", 1)[1] for u in got[site].discovery.product_urls] == ["0", "1", "2"]
+        assert got[site].discovery.next_url == url + "?page=2"
+        n = {0: 0, 1: 3, 2: 1 + i % 2}[i % 3]
+        assert [s.name for s in got[site].summaries] == [f"N{k}" for k in range(n)]
+    one = ops.process_pages(pages, configs[:3], NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(outcomes._jdf.queryExecution().optimizedPlan().toString()) < 1.2 * len(one)
+    assert planning < 10, planning
+    with pytest.raises(ValueError):
+        ops.process_pages(pages, [{**configs[0], "selectors": {"product_container": "a:hover"}}], NOW)
