@@ -19,6 +19,7 @@ from shelfwright.session import checkpoint_dir
 from shelfwright.sources import logs as log_files
 from shelfwright.sources import products as files
 from shelfwright.sources import sites as site_files
+from shelfwright.sources.store import ProductStore
 
 
 def scratch(spark, name: str) -> str:
@@ -138,8 +139,10 @@ SELECT 'acme-O-' || o.o_orderkey AS id, 'Order ' || o.o_orderkey AS name, o_tota
 FROM orders o LEFT JOIN v ON o.o_orderkey = v.o_orderkey
 """)
 def tables_round_trip(spark, sf):
-    """Nested products to five tables and back."""
-    back = relational.from_relational(relational.to_relational(stored_products(spark, sf)))
+    """Nested products to the five tables of a store, and back without a shuffle on their id."""
+    store = ProductStore(spark, scratch(spark, "store"))
+    store.add(rich_products(spark, sf))
+    back = relational.from_relational(store.read())
     shown = F.transform(
         F.array_sort("variants", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)),
         lambda v: F.concat(
@@ -186,10 +189,10 @@ def tables_upsert(spark, sf):
             }
         )
 
-    batch = again(2).unionByName(again(0)).unionByName(again(1))
-    merged = relational.upsert_relational(
-        relational.to_relational(products), relational.to_relational(relational.latest_products(batch, "turn"))
-    )
+    store = ProductStore(spark, scratch(spark, "store"))
+    store.add(products)
+    store.add(again(2).unionByName(again(0)).unionByName(again(1)), "turn")
+    merged = store.read()
 
     def counted(name: str, alias: str):
         return merged[name].groupBy(F.col("product_id").alias("id")).agg(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from shelfwright import schemas
 from shelfwright.operators.lookup import spread_scan
-from shelfwright.operators.relational import (
-    TABLES, flatten_for_csv, latest_products, to_relational, upsert_relational,
-)
+from shelfwright.operators.relational import TABLES, flatten_for_csv
+from shelfwright.session import checkpoint_dir
+from shelfwright.sources.store import ProductStore
 
 
 def _is_missing(error: AnalysisException) -> bool:
@@ -73,45 +73,14 @@ def read_relational(spark: SparkSession, directory: str) -> dict[str, DataFrame]
     return {name: spark.read.parquet(f"{directory.rstrip('/')}/{name}") for name in TABLES}
 
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it takes it."""
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
-
-
-def _versions(spark: SparkSession, directory: str) -> list[int]:
-    """Finished versions of stored tables, oldest first."""
-    fs, root = _folder(spark, directory)
-    if not fs.exists(root):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(root)]
-    return sorted(int(n[6:]) for n in names if n.startswith("ready-"))
-
-
 def read_stored(spark: SparkSession, directory: str) -> dict[str, DataFrame] | None:
     """The five tables as the last finished ``add_to_stored`` left them; None before the first."""
-    found = _versions(spark, directory)
-    return read_relational(spark, f"{directory.rstrip('/')}/v{found[-1]}") if found else None
+    return ProductStore(spark, directory).read()
 
 
 def add_to_stored(df: DataFrame, directory: str, order: str | None = None) -> None:
-    """Add products to the stored tables; those stored under the same id are replaced.
-
-    All tables are written as a new version beside the old one, which stays readable until a marker
-    file makes the new one current. The version before the last is then deleted. One writer at a time.
-    """
-    spark, root = df.sparkSession, directory.rstrip("/")
-    found = _versions(spark, root)
-    tables = to_relational(latest_products(df, order))
-    if found:
-        tables = upsert_relational(read_relational(spark, f"{root}/v{found[-1]}"), tables)
-    number = found[-1] + 1 if found else 1
-    write_relational(tables, f"{root}/v{number}")
-    fs, marker = _folder(spark, f"{root}/ready-{number}")
-    fs.create(marker, True).close()
-    for old in found[:-1]:
-        for name in (f"ready-{old}", f"v{old}"):
-            fs.delete(_folder(spark, f"{root}/{name}")[1], True)
+    """Add products to the stored tables; those stored under the same id are replaced (see ``ProductStore``)."""
+    ProductStore(df.sparkSession, directory).add(df, order)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +103,10 @@ def store_products(
     now = (as_of or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H-%M-%S")
     stamp = f"_{now}" if append_timestamp else ""
     base = f"{directory.rstrip('/')}/{filename or 'products'}"
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if len(kinds) > 1 else df
+    # Stored once: all formats hold the same rows, and a lost executor costs no second reading of pages.
+    batch = f"{checkpoint_dir(spark).rstrip('/')}/batch-{uuid.uuid4().hex}"
+    df.write.parquet(batch)
+    kept = spark.read.schema(df.schema).parquet(batch)
     rows = []
     try:
         count = kept.count()
@@ -155,8 +127,8 @@ def store_products(
             except Exception as error:  # noqa: BLE001 - the failure is the result row
                 rows.append((kind, "", 0, False, str(error)))
     finally:
-        if len(kinds) > 1:
-            kept.unpersist()
+        made = spark._jvm.org.apache.hadoop.fs.Path(batch)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
     return spark.createDataFrame(rows, result)
 
 
