@@ -1,7 +1,7 @@
 """Rate limits applied to a request log (site, ms, and an id that orders equal times).
 
-A site may hold a large share of the log, so no step gathers one site's rows in one task. Sliding
-windows run inside (site, time slice) groups that also hold the rows just before the slice. The
+A site, and a moment, may hold a large share of the log, so no step gathers the rows of one in one task: requests of one
+site and millisecond are one row with a count. Sliding windows are sums of what came and left, over short cells of time. The
 token bucket is a state machine; each slice is first reduced to its effect on the bucket, the
 effects are chained per site, and then every slice runs on its own from its true start level.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from shelfwright.operators.lookup import bounded_broadcast
 
 # Limits of the global and of the per-site limiter.
-# Requests of one slice that one task walks through.
+# Length of the time cells that windows are summed over.
+CELL_MS = 10_000
+# Different times, in milliseconds, of one slice that one task walks through.
 SLICE_ROWS = 50_000
 MAX_REQUESTS = 60
 BURST_LIMIT = 10
@@ -33,17 +35,6 @@ MIN_INTERVAL_MS = 2000.0
 UNITS = 120_000_000
 
 
-def _sliced(requests: DataFrame, keys: list[str], reach_ms: int, slice_ms: int) -> DataFrame:
-    """Rows under (keys, slice), with each row repeated in later slices its reach touches."""
-    own = F.floor(F.col("ms") / slice_ms)
-    last = F.floor((F.col("ms") + (reach_ms - 1)) / slice_ms)
-    return (
-        requests.withColumn("_own", own)
-        .withColumn("_slice", F.explode(F.sequence(own, last)))
-        .withColumn("_halo", F.col("_slice") != F.col("_own"))
-    )
-
-
 def rate_window_audit(
     requests: DataFrame,
     max_requests: int = MAX_REQUESTS,
@@ -51,39 +42,80 @@ def rate_window_audit(
     window_ms: int = WINDOW_MS,
     burst_ms: int = BURST_MS,
     by: list[str] = ("site",),
-    slice_ms: int | None = None,
+    cell_ms: int = CELL_MS,
 ) -> DataFrame:
     """Requests in the window and in the burst span up to each request, with wait estimates.
 
-    Adds in_window, in_burst, over_limit, over_burst and wait_ms. ``by=[]`` audits the whole log
-    as one limiter; time slices keep that parallel too.
+    Adds in_window, in_burst, over_limit, over_burst and wait_ms. ``by=[]`` audits the whole log as one limiter. Requests
+    without a time are left out.
+
+    Requests of one millisecond are one row first. Each such row comes into both spans at its time and leaves them a span
+    later; what is in a span is the sum of what came and left before. Sums run over cells of time: a
+    cell starts from the sums of all cells before it, one short row a cell, and holds at most three rows a millisecond,
+    whatever the traffic.
     """
     by = list(by)
-    slice_ms = slice_ms or 10 * window_ms
-    rows = _sliced(requests, by, window_ms, slice_ms)
-    base = Window.partitionBy(*by, "_slice").orderBy("ms")
-    wide = base.rangeBetween(-(window_ms - 1), 0)
-    near = base.rangeBetween(-(burst_ms - 1), 0)
+    timed = requests.filter(F.col("ms").isNotNull())
+    spans = (("wide", window_ms), ("near", burst_ms))
+    came = timed.groupBy(*by, "ms").agg(F.count(F.lit(1)).alias("_n"))
+    moves = [F.struct(F.col("ms").alias("t"), F.lit("came").alias("kind"))]
+    moves += [F.struct((F.col("ms") + span).alias("t"), F.lit(name).alias("kind")) for name, span in spans]
+    events = came.select(*by, "ms", "_n", F.explode(F.array(*moves)).alias("_e")).select(
+        *by, "ms", "_n", F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
+        F.floor(F.col("_e.t") / cell_ms).alias("_cell"),
+    )
+
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("_kind") == kind, value)
+
+    none = F.lit(0)
+    cells = events.groupBy(*by, "_cell").agg(
+        F.sum(of("came", F.col("_n"))).alias("came"),
+        *[F.sum(of(name, F.col("_n"))).alias(f"left_{name}") for name, _ in spans],
+        *[F.min(of(name, F.col("ms"))).alias(f"first_{name}") for name, _ in spans],
+    )
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(
+        *by, "_cell", (F.col("_cell") * cell_ms).cast("bigint").alias("_t"), F.lit("start").alias("_kind"),
+        *[
+            F.coalesce(F.sum(F.coalesce("came", none) - F.coalesce(f"left_{name}", none)).over(before), none).alias(f"_in_{name}")
+            for name, _ in spans
+        ],
+        *[F.last(f"first_{name}", ignorenulls=True).over(behind).alias(f"_next_{name}") for name, _ in spans],
+    )
+    rows = events.unionByName(starts, allowMissingColumns=True)
+    cell = Window.partitionBy(*by, "_cell")
+    up_to = cell.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    after = cell.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+
+    def inside(name: str) -> Column:
+        return F.sum(of("start", F.col(f"_in_{name}"))).over(up_to) + F.coalesce(
+            F.sum(of("came", F.col("_n"))).over(up_to), none
+        ) - F.coalesce(F.sum(of(name, F.col("_n"))).over(up_to), none)
+
+    def oldest(name: str) -> Column:
+        """The first request that has not left: the next one to leave, in this cell or a later one."""
+        return F.coalesce(F.min(of(name, F.col("ms"))).over(after), F.max(f"_next_{name}").over(cell))
+
     counted = rows.select(
-        "*",
-        F.count(F.lit(1)).over(wide).alias("in_window"),
-        F.count(F.lit(1)).over(near).alias("in_burst"),
-        F.min("ms").over(wide).alias("_oldest"),
-        F.min("ms").over(near).alias("_oldest_near"),
-    ).filter(~F.col("_halo"))
-    over = F.col("in_window") >= max_requests
-    over_burst = F.col("in_burst") >= burst
+        *by, "ms", "_kind", inside("wide").alias("in_window"), inside("near").alias("in_burst"),
+        oldest("wide").alias("_oldest"), oldest("near").alias("_oldest_near"),
+    ).filter(F.col("_kind") == "came")
+    over, over_burst = F.col("in_window") >= max_requests, F.col("in_burst") >= burst
     wait = (
         F.when(over, window_ms - (F.col("ms") - F.col("_oldest")) + WAIT_MARGIN_MS)
         .when(over_burst, burst_ms - (F.col("ms") - F.col("_oldest_near")) + WAIT_MARGIN_MS)
         .otherwise(F.lit(0))
     )
-    return (
-        counted.withColumn("over_limit", over)
-        .withColumn("over_burst", over_burst)
-        .withColumn("wait_ms", wait.cast("bigint"))
-        .drop("_own", "_slice", "_halo", "_oldest", "_oldest_near")
+    told = counted.select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("ms").alias("_ms"), "in_window", "in_burst",
+        over.alias("over_limit"), over_burst.alias("over_burst"), wait.cast("bigint").alias("wait_ms"),
     )
+    same = F.col("ms") == F.col("_ms")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return timed.join(told, same).drop("_ms", *[f"_{c}" for c in by])
 
 
 def rate_utilization(
@@ -111,15 +143,18 @@ def bucket_params(sites: DataFrame) -> DataFrame:
     )
 
 
-def _effect(ms: np.ndarray, start: int, cap: int, rate: int) -> tuple[list, list, list]:
+def _effect(ms: np.ndarray, counts: np.ndarray, start: int, cap: int, rate: int) -> tuple[list, list, list]:
     """What a slice does to a start level: pieces (from, shift, fixed level or -1).
 
-    A level x in a piece ends at the fixed level, or at x + shift. ``start`` is the slice start.
+    A level x in a piece ends at the fixed level, or at x + shift. ``start`` is the slice start. Of the requests of one time no
+    more than a full bucket can take a token, so the others change nothing.
     """
     lows, shifts, fixed = [0], [0], [-1]
     now = start
-    for t in ms.tolist():
-        gain, now = max(0, t - now) * rate, max(now, t)
+    most = cap // UNITS + 1
+    for t, gain in _steps(ms, counts, start, most):
+        gain *= rate
+        now = max(now, t)
         nl, ns, nf = [], [], []
         for k, low in enumerate(lows):
             high = lows[k + 1] - 1 if k + 1 < len(lows) else cap
@@ -148,17 +183,26 @@ def _effect(ms: np.ndarray, start: int, cap: int, rate: int) -> tuple[list, list
     return lows, shifts, fixed
 
 
-def _run(ms: np.ndarray, start_ms: int, level: int, cap: int, rate: int):
-    """Levels before each request and whether it was admitted."""
+def _steps(ms: np.ndarray, counts: np.ndarray, start: int, most: int) -> Iterator[tuple[int, int]]:
+    """(time, time since the one before) of each request that can matter."""
+    now = start
+    for t, n in zip(ms.tolist(), counts.tolist(), strict=True):
+        yield t, max(0, t - now)
+        now = max(now, t)
+        for _ in range(min(n, most) - 1):
+            yield t, 0
+
+
+def _run(ms: np.ndarray, counts: np.ndarray, start_ms: int, level: int, cap: int, rate: int) -> np.ndarray:
+    """Levels before the first request of each time."""
     before = np.empty(len(ms), dtype=np.int64)
     now = start_ms
-    for k, t in enumerate(ms.tolist()):
+    for k, (t, n) in enumerate(zip(ms.tolist(), counts.tolist(), strict=True)):
         level = min(cap, level + max(0, t - now) * rate)
         now = max(now, t)
         before[k] = level
-        if level >= UNITS:
-            level -= UNITS
-    return before, before >= UNITS
+        level -= min(n, level // UNITS) * UNITS
+    return before
 
 
 _EFFECT = (
@@ -168,9 +212,9 @@ _EFFECT = (
 
 
 def _slice_effect(pdf: pd.DataFrame) -> pd.DataFrame:
-    ms = np.sort(pdf["ms"].to_numpy())
-    cap, rate = int(pdf["cap"].iat[0]), int(pdf["rate"].iat[0])
-    lows, shifts, fixed = _effect(ms, int(ms[0]), cap, rate)
+    pdf = pdf.sort_values("ms")
+    ms, cap, rate = pdf["ms"].to_numpy(), int(pdf["cap"].iat[0]), int(pdf["rate"].iat[0])
+    lows, shifts, fixed = _effect(ms, pdf["n"].to_numpy(), int(ms[0]), cap, rate)
     row = (pdf["site"].iat[0], pdf["slice"].iat[0], ms[0], ms[-1], cap, rate, lows, shifts, fixed)
     return pd.DataFrame([row], columns=[c.split()[0] for c in _EFFECT.split(",")])
 
@@ -212,23 +256,28 @@ def _with_params(requests: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def _counted(requests: DataFrame) -> DataFrame:
+    """One row per site and time, with the number of its requests."""
+    return requests.groupBy("site", "ms").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _cut_slices(timed: DataFrame, slice_ms: int, rows: int = SLICE_ROWS) -> DataFrame:
-    """Requests with their ``slice``, whose numbers rise with time.
+    """Times with their ``slice``, whose numbers rise with time.
 
-    A slice is ``slice_ms`` long; where a site has more than ``rows`` requests in one, it is cut into
-    as many shorter ones as hold about ``rows`` each.
+    A slice is ``slice_ms`` long; where a site has more than ``rows`` times in one, it is cut into
+    slices of ``rows`` milliseconds, which hold no more than that.
     """
     coarse = F.floor(F.col("ms") / slice_ms)
     crowded = (
-        timed.groupBy("site", coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
-        .select("site", "coarse", F.ceil(F.col("n") / rows).alias("parts"))
+        timed.groupBy("site", coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+        .select("site", "coarse", F.lit(rows).alias("length"))
     )
-    fine = F.floor((F.col("ms") - F.col("coarse") * slice_ms) * F.coalesce("parts", F.lit(1)) / slice_ms)
+    fine = F.floor((F.col("ms") - F.col("coarse") * slice_ms) / F.coalesce("length", F.lit(slice_ms)))
     return (
         timed.withColumn("coarse", coarse)
         .join(bounded_broadcast(crowded), ["site", "coarse"], "left")
         .withColumn("slice", F.col("coarse") * (1 << 20) + fine)
-        .drop("coarse", "parts")
+        .drop("coarse", "length")
     )
 
 
@@ -236,7 +285,7 @@ def bucket_slices(
     requests: DataFrame, params: DataFrame, state: DataFrame | None = None, slice_ms: int = 600_000
 ) -> DataFrame:
     """Start and end level of each (site, slice); ``state`` (site, level, ms) continues a run."""
-    timed = _cut_slices(_with_params(requests.select("site", "ms"), params), slice_ms)
+    timed = _cut_slices(_with_params(_counted(requests), params), slice_ms)
     effects = timed.groupBy("site", "slice").applyInPandas(_slice_effect, _EFFECT)
     if state is None:
         seeded = effects.withColumn("level0", F.col("cap")).withColumn("ms0", F.lit(-1).cast("bigint"))
@@ -268,26 +317,41 @@ def token_bucket_tag(
     ``bucket_slices`` made of the same requests.
     """
     starts = bucket_slices(requests, params, state, slice_ms) if slices is None else slices
-    timed = _cut_slices(_with_params(requests.select("site", "ms", order), params), slice_ms)
+    timed = _cut_slices(_with_params(_counted(requests), params), slice_ms)
     joined = timed.join(starts.select("site", "slice", "start_level"), ["site", "slice"])
-    kind = dict(requests.dtypes)[order]
-
-    def tag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", order])
-        ms = pdf["ms"].to_numpy()
-        cap, rate = int(pdf["cap"].iat[0]), int(pdf["rate"].iat[0])
-        before, admitted = _run(ms, int(ms[0]), int(pdf["start_level"].iat[0]), cap, rate)
-        missing = (UNITS - before) / rate if rate else np.full(len(ms), np.inf)
-        wait = np.where(admitted, 0.0, np.maximum(missing, pdf["min_interval"].to_numpy()))
+
+    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ms")
+        ms, cap, rate = pdf["ms"].to_numpy(), int(pdf["cap"].iat[0]), int(pdf["rate"].iat[0])
+        before = _run(ms, pdf["n"].to_numpy(), int(ms[0]), int(pdf["start_level"].iat[0]), cap, rate)
         return pd.DataFrame(
-            {
-                "site": pdf["site"], "ms": ms, order: pdf[order], "tokens": before / UNITS,
-                "admitted": admitted, "wait_ms": wait,
-            }
+            {"site": pdf["site"], "ms": ms, "n": pdf["n"], "level": before, "rate": rate, "least": pdf["min_interval"]}
         )
 
-    return joined.groupBy("site", "slice").applyInPandas(
-        tag, f"site string, ms bigint, {order} {kind}, tokens double, admitted boolean, wait_ms double"
+    known = joined.groupBy("site", "slice").applyInPandas(
+        levels, "site string, ms bigint, n bigint, level bigint, rate bigint, least double"
+    )
+    # The first requests of a time, as many as a full bucket can admit; of a crowded time a map task sends on no more.
+    largest = params.agg(F.max("max_tokens")).first()[0]
+    most = int(max(largest or 0.0, MAX_TOKENS)) + 1
+    rank = F.row_number().over(Window.partitionBy("site", "ms").orderBy(order))
+    firsts = (
+        requests.select("site", "ms", order).withColumn("_rank", rank).filter(F.col("_rank") <= most)
+        .groupBy("site", "ms").agg(F.array_sort(F.collect_list(order)).alias("_firsts"))
+    )
+    told = known.join(firsts, ["site", "ms"])
+    tokens = F.floor(F.col("level") / UNITS)
+    place = F.array_position("_firsts", F.col(order))
+    taken = F.least(F.when(place > 0, place - 1).otherwise(F.col("n")), tokens)
+    before = (F.col("level") - taken * UNITS).cast("bigint")
+    missing = F.coalesce(F.try_divide((F.lit(UNITS) - F.col("_before")).cast("double"), F.col("rate")), F.lit(float("inf")))
+    admitted = F.col("_before") >= UNITS
+    return (
+        requests.select("site", "ms", order).join(told, ["site", "ms"]).withColumn("_before", before)
+        .select(
+            "site", "ms", order, (F.col("_before") / F.lit(float(UNITS))).alias("tokens"), admitted.alias("admitted"),
+            F.when(admitted, F.lit(0.0)).otherwise(F.greatest(missing, F.col("least"))).alias("wait_ms"),
+        )
     )
 
 

@@ -14,11 +14,11 @@ def log(spark, seed, n=400, span=40_000, sites=("a", "a", "a", "b")):
     return rows, spark.createDataFrame(rows, "id long, site string, ms long")
 
 
-@pytest.mark.parametrize("slice_ms", [500, 1000, 7000, 10**9])
-def test_windows(spark, slice_ms):
+@pytest.mark.parametrize("cell_ms", [70, 500, 1000, 7000, 10**9])
+def test_windows(spark, cell_ms):
     rows, df = log(spark, 1)
     got = rate.rate_window_audit(
-        df, max_requests=5, burst=2, window_ms=1000, burst_ms=200, slice_ms=slice_ms
+        df, max_requests=5, burst=2, window_ms=1000, burst_ms=200, cell_ms=cell_ms
     ).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -115,3 +115,38 @@ def test_busy_slice_is_cut(spark):
     finally:
         rate._cut_slices.__defaults__ = old
     assert parts == whole
+
+
+def test_windows_of_one_limiter_with_nulls_and_negative_times(spark):
+    rows = [(1, "a", -5), (2, None, 5), (3, "b", 100), (4, None, 5), (5, "a", None), (6, "c", 1004)]
+    df = spark.createDataFrame(rows, "id long, site string, ms long")
+    got = {r.id: (r.in_window, r.in_burst) for r in rate.rate_window_audit(df, window_ms=1000, burst_ms=100, by=[], cell_ms=50).collect()}
+    assert got == {1: (1, 1), 2: (3, 3), 4: (3, 3), 3: (4, 3), 6: (4, 1)}
+    apart = {r.id: r.in_window for r in rate.rate_window_audit(df, window_ms=1000, burst_ms=100).collect()}
+    assert apart == {1: 1, 2: 2, 4: 2, 3: 1, 6: 1}
+    assert rate.rate_window_audit(df.limit(0)).collect() == []
+
+
+def test_windows_at_any_traffic(spark):
+    """One site with nine tenths of all requests within seconds: no task of the sums sees more than 50,000 rows."""
+    hot = spark.range(900_000).select(F.lit("hot").alias("site"), F.expr("id div 90").alias("ms"), "id")
+    rest = spark.range(100_000).select(F.concat(F.lit("s"), F.expr("id % 50")).alias("site"), (F.col("id") * 7).alias("ms"), "id")
+    audit = rate.rate_window_audit(hot.unionAll(rest), max_requests=10, burst=5)
+    got = audit.filter("site = 'hot'").agg(F.count("*"), F.max("in_window"), F.max("in_burst"), F.sum("in_window")).first()
+    assert got[0] == 900_000 and got[1] == got[2] == 900_000
+    assert got[3] == sum(90 * 90 * (k + 1) for k in range(10_000))
+
+
+def test_a_million_requests_in_one_millisecond(spark):
+    requests = spark.range(1_000_000).select(F.lit("a").alias("site"), F.lit(5_000).cast("long").alias("ms"), "id").unionAll(
+        spark.createDataFrame([("a", 5_001, -1), ("a", 9_000, -2), ("b", 5_000, -3)], "site string, ms long, id long")
+    )
+    params = spark.createDataFrame([("a", 3.5, 1.0, 50.0)], "site string, max_tokens double, refill_rate double, min_interval double")
+    tags = rate.token_bucket_tag(requests, params)
+    per = {(r.site, r.ms, r.admitted): r.n for r in tags.groupBy("site", "ms", "admitted").agg(F.count("*").alias("n")).collect()}
+    assert per == {("a", 5_000, True): 3, ("a", 5_000, False): 999_997, ("a", 5_001, False): 1, ("a", 9_000, True): 1, ("b", 5_000, True): 1}
+    firsts = {r.id: (r.tokens, r.wait_ms) for r in tags.filter("id < 5").collect()}
+    assert firsts[0] == (3.5, 0) and firsts[2] == (1.5, 0) and firsts[3] == firsts[4] == (0.5, 500.0)
+    assert firsts[-2][0] == 3.5
+    plan = tags._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
