@@ -59,9 +59,11 @@ def _chain(alternative: str) -> tuple[list[str], list[str]]:
     return parts, marks
 
 
-def _simple(part: str) -> tuple[tuple[str, str | None], list[Callable], int]:
-    """(where to look it up, tests of (tag, classes, attributes), place from the end or 0) of ``a.next[rel='x']``."""
-    keys, tests, nth, end = [], [], 0, 0
+def _simple(part: str) -> tuple[tuple[str, str | None], list[Callable], list[Callable], int]:
+    """``a.next[rel='x']`` as where to look it up, tests of (tag, classes, attributes), tests of attributes' values, and
+    the place from the end or 0.
+    """
+    keys, tests, values, nth, end = [], [], [], 0, 0
     for m in _PART.finditer(part):
         if m.start() != end:
             break
@@ -77,7 +79,10 @@ def _simple(part: str) -> tuple[tuple[str, str | None], list[Callable], int]:
             tests.append(lambda tag, classes, attrs, want=m["id"]: attrs.get("id") == want)
         elif m["attr"]:
             keys.append((2, "attr", m["attr"]))
-            tests.append(_attribute(m["attr"], m["op"], m["val"]))
+            if m["op"] is None:
+                tests.append(lambda tag, classes, attrs, want=m["attr"]: want in attrs)
+            else:
+                values.append(_value(m["attr"], m["op"], m["val"]))
         else:
             place = int(m["nth"] or 1)
             if nth not in (0, place):
@@ -86,19 +91,17 @@ def _simple(part: str) -> tuple[tuple[str, str | None], list[Callable], int]:
     if end != len(part) or not part:
         raise ValueError(f"selector not supported: {part!r}")
     _, kind, value = min(keys, default=(4, "any", None))
-    return (kind, value), tests, nth
+    return (kind, value), tests, values, nth
 
 
-def _attribute(name: str, op: str | None, want: str | None) -> Callable:
-    if op is None:
-        return lambda tag, classes, attrs: name in attrs
+def _value(name: str, op: str, want: str) -> Callable:
     if op == "=":
-        return lambda tag, classes, attrs: attrs.get(name) == want
+        return lambda attrs: attrs.get(name) == want
     if op == "*=":
-        return lambda tag, classes, attrs: name in attrs and want in attrs[name]
+        return lambda attrs: name in attrs and want in attrs[name]
     if op == "^=":
-        return lambda tag, classes, attrs: name in attrs and attrs[name].startswith(want)
-    return lambda tag, classes, attrs: name in attrs and attrs[name].endswith(want)
+        return lambda attrs: name in attrs and attrs[name].startswith(want)
+    return lambda attrs: name in attrs and attrs[name].endswith(want)
 
 
 class Automaton:
@@ -109,9 +112,8 @@ class Automaton:
         self.first = self.below = self.child = self.next = self.later = self.ends = 0
         self.owner: dict[int, int] = {}
         self.nth: dict[int, int] = {}
-        self.index: dict[tuple[str, str | None], list[tuple[int, list[Callable]]]] = {}
-        self.watched = {"class", "id"}
-        self.remembered: dict[tuple, int] = {}
+        self.index: dict[tuple[str, str | None], list[tuple[int, list[Callable], list[Callable]]]] = {}
+        self.remembered: dict[tuple, tuple[int, list]] = {}
         self.room = REMEMBERED
         bit = 1
         for number, selector in enumerate(selectors):
@@ -120,9 +122,8 @@ class Automaton:
                     continue
                 parts, marks = _chain(alternative)
                 for i, part in enumerate(parts):
-                    (kind, value), tests, nth = _simple(part)
-                    self.index.setdefault((kind, value), []).append((bit, tests))
-                    self.watched.update(m["attr"] for m in _PART.finditer(part) if m["attr"])
+                    place, tests, values, nth = _simple(part)
+                    self.index.setdefault(place, []).append((bit, tests, values))
                     if nth:
                         self.nth[nth] = self.nth.get(nth, 0) | bit
                     if i == 0:
@@ -145,25 +146,42 @@ class Automaton:
             self.placed |= mask
 
     def tests(self, tag: str, attrs: Mapping[str, str]) -> int:
-        """The tests that the element itself passes, its place among siblings aside."""
-        key = (tag, *[(k, v) for k, v in attrs.items() if k in self.watched])
-        found = self.remembered.get(key)
-        if found is None:
-            classes = attrs.get("class", "").split()
-            places = [("any", None), ("tag", tag), ("id", attrs.get("id"))]
-            places += [("class", c) for c in set(classes)] + [("attr", a) for a in attrs]
-            found = 0
-            for place in places:
-                for bit, tests in self.index.get(place, ()):
-                    if all(t(tag, classes, attrs) for t in tests):
-                        found |= bit
-            self.room -= 64 + sum(len(v) for _, v in key[1:])
+        """The tests that the element itself passes, its place among siblings aside.
+
+        What follows from the tag, the classes, the id and the names of attributes is remembered; values are looked at each time.
+        """
+        key = (tag, attrs.get("class"), attrs.get("id"), *attrs)
+        known = self.remembered.get(key)
+        if known is None:
+            known = self._known(tag, attrs)
+            self.room -= 64 + len(key[1] or "") + len(key[2] or "")
             if self.room < 0:
                 self.remembered.clear()
                 self.room = REMEMBERED
-            self.remembered[key] = found
+            self.remembered[key] = known
+        found, valued = known
+        for bit, tests in valued:
+            for test in tests:
+                if not test(attrs):
+                    break
+            else:
+                found |= bit
         return found
 
+    def _known(self, tag: str, attrs: Mapping[str, str]) -> tuple[int, list]:
+        classes = attrs.get("class", "").split()
+        places = [("any", None), ("tag", tag), ("id", attrs.get("id"))]
+        places += [("class", c) for c in set(classes)] + [("attr", a) for a in attrs]
+        found, valued = 0, []
+        for place in places:
+            for bit, tests, values in self.index.get(place, ()):
+                if all(t(tag, classes, attrs) for t in tests):
+                    if values:
+                        valued.append((bit, values))
+                    else:
+                        found |= bit
+        return found, valued
+
     def hits(self, page) -> list[list[int]]:
         """For each selector the elements that it fits, in document order."""
         out: list[list[int]] = [[] for _ in range(self.size)]

@@ -9,7 +9,9 @@ nest. Everything that reads the result is a Catalyst expression.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -48,11 +50,73 @@ _FENCES = {"table", "ul", "ol", "dl", "select", "button", "td", "th", "div", "bo
 COMPILED = 4096
 
 
-class ParsedPage(HTMLParser):
-    """The elements of a page as lists, in document order, and its text."""
+# Markup in its plain form: a tag whose attributes are well written, or text up to the next tag.
+_NAME = r"[a-zA-Z][a-zA-Z0-9-]*"
+_ATTRIBUTE = r"""\s+([a-zA-Z_:@][\w:.@-]*)(?:=(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'=<>`/]+)))?"""
+_TOKEN = re.compile(
+    rf"""</({_NAME})\s*>|<({_NAME})((?:\s+[a-zA-Z_:@][\w:.@-]*(?:="[^"<>]*"|='[^'<>]*'|=[^\s"'=<>`/]+)?)*)\s*(/?)>|([^<]+)""",
+    re.ASCII,
+)
+_ATTRIBUTES = re.compile(_ATTRIBUTE, re.ASCII)
+_UNCLEAR = re.compile(r"&(?!(?:amp|lt|gt|quot|#[0-9]{1,6});)")
+# Elements whose content is no markup, and those that editions of the reader treat as such.
+_RAW = {"script", "style"}
+_SPECIAL = {"textarea", "title", "plaintext", "xmp", "iframe", "noembed", "noframes", "noscript", "svg", "math"}
+
+
+class _Unclear(Exception):
+    """Markup that is not in its plain form."""
 
-    def __init__(self, html: str | None):
+
+class _Reader(HTMLParser):
+    """Any markup at all, told to a page."""
+
+    def __init__(self, page: ParsedPage):
         super().__init__(convert_charrefs=True)
+        self.page = page
+
+    def handle_starttag(self, tag, attrs):
+        values: dict[str, str] = {}
+        for name, value in attrs:
+            values.setdefault(name, value or "")
+        self.page.start(tag, values)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        self.page.end(tag)
+
+    def handle_data(self, data):
+        self.page.data(data)
+
+
+class ParsedPage:
+    """The elements of a page as lists, in document order, and its text.
+
+    Plain markup is read by patterns; a page with anything else in it goes through the standard library's reader, which
+    gives the same for plain markup but takes several times as long.
+    """
+
+    def __init__(self, html: str | None, plain: bool = True):
+        self._begin()
+        try:
+            if not plain:
+                raise _Unclear
+            self._read_plain(html or "")
+        except _Unclear:
+            self._begin()
+            reader = _Reader(self)
+            reader.feed(html or "")
+            reader.close()
+        self._close(0)
+        from_end, prevs = self.from_end, self.prevs
+        for i in range(len(self.tags) - 1, -1, -1):
+            if prevs[i] >= 0:
+                from_end[prevs[i]] = from_end[i] + 1
+        self.text = "".join(self._parts)
+
+    def _begin(self) -> None:
         self.tags: list[str] = []
         self.attrs: list[dict[str, str]] = []
         self.parents: list[int] = []
@@ -65,13 +129,55 @@ class ParsedPage(HTMLParser):
         self._last_child: dict[int, int] = {}
         self._parts: list[str] = []
         self._size = 0
-        self.feed(html or "")
-        self.close()
-        self._close(0)
-        for i in range(len(self.tags) - 1, -1, -1):
-            if self.prevs[i] >= 0:
-                self.from_end[self.prevs[i]] = self.from_end[i] + 1
-        self.text = "".join(self._parts)
+
+    def _read_plain(self, html: str) -> None:
+        if "\x00" in html or "\r" in html:
+            raise _Unclear
+        position, match = 0, _TOKEN.match
+        while position < len(html):
+            token = match(html, position)
+            if token is None:
+                if html.startswith("<!--", position):
+                    position = self._comment(html, position)
+                    continue
+                if html[position : position + 15].lower() == "<!doctype html>":
+                    position += 15
+                    continue
+                raise _Unclear
+            position = token.end()
+            end, tag, attrs, slash, text = token.groups()
+            if text is not None:
+                self.data(unescape(text) if "&" in text else text)
+            elif tag is not None:
+                tag = tag.lower()
+                self.start(tag, _values(attrs) if attrs else {})
+                if tag in _RAW or tag in _SPECIAL:
+                    position = self._content(html, tag, position, bool(slash))
+            else:
+                self.end(end.lower())
+
+    def _comment(self, html: str, position: int) -> int:
+        stop = html.find("-->", position + 4)
+        body = html[position + 4 : stop]
+        if stop < 0 or body.startswith((">", "->")) or "--" in body or body.endswith("-"):
+            raise _Unclear
+        return stop + 3
+
+    def _content(self, html: str, tag: str, position: int, slash: bool) -> int:
+        """What follows the start of an element whose content may be no markup."""
+        stop = html.find("</", position)
+        if slash or stop < 0 or html[stop + 2 : stop + 3 + len(tag)].lower() != f"{tag}>":
+            raise _Unclear
+        body = html[position:stop]
+        if tag in _RAW:
+            if "<!--" in body:
+                raise _Unclear
+            if body:
+                self.data(body)
+            return stop
+        if "<" in body:
+            raise _Unclear
+        return position
 
     def _close(self, depth: int) -> None:
         while len(self._open) > depth:
@@ -89,16 +195,13 @@ class ParsedPage(HTMLParser):
                 return
             k = min(k, len(self._open)) - 1
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in _CLOSERS:
             self._imply_ends(tag)
         i = len(self.tags)
         parent = self._open[-1] if self._open else -1
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
         self.tags.append(tag)
-        self.attrs.append(values)
+        self.attrs.append(attrs)
         self.parents.append(parent)
         self.prevs.append(self._last_child.get(parent, -1))
         self.from_end.append(1)
@@ -109,20 +212,28 @@ class ParsedPage(HTMLParser):
         if tag not in _VOID:
             self._open.append(i)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         for k in range(len(self._open) - 1, -1, -1):
             if self.tags[self._open[k]] == tag:
                 self._close(k)
                 return
 
-    def handle_data(self, data):
+    def data(self, data: str) -> None:
         self._parts.append(data)
         self._size += len(data)
 
 
+def _values(written: str) -> dict[str, str]:
+    """Attributes of a plain tag; of a repeated name the first counts."""
+    if "&" in written and _UNCLEAR.search(written):
+        raise _Unclear
+    values: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTES.findall(written):
+        value = double or single or bare
+        values.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return values
+
+
 def _hits_of(pages: list[tuple[ParsedPage, list[list[int]]]]) -> pa.Array:
     """The elements found on each page, as a list for each selector."""
     columns: dict[str, list[int]] = {name: [] for name in schemas.HIT.fieldNames() if name != "attrs"}

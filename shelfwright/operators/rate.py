@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from shelfwright.operators.lookup import bounded_broadcast
 
 # Limits of the global and of the per-site limiter.
-# Length of the time cells that windows are summed over.
+# Length of the time cells that windows are summed over where traffic is dense, and the rows above which it is.
 CELL_MS = 10_000
+CELL_ROWS = 30_000
 # Different times, in milliseconds, of one slice that one task walks through.
 SLICE_ROWS = 50_000
 MAX_REQUESTS = 60
@@ -35,6 +36,22 @@ MIN_INTERVAL_MS = 2000.0
 UNITS = 120_000_000
 
 
+def _celled(events: DataFrame, by: list[str], cell_ms: int, cell_rows: int) -> DataFrame:
+    """Events (``_t``) with their ``_cell``, whose numbers rise with time."""
+    coarse = F.floor(F.col("_t") / cell_ms)
+    crowded = (
+        events.groupBy(*by, coarse.alias("_coarse")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > cell_rows)
+        .select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_coarse").alias("_full"))
+    )
+    same = F.col("_coarse") == F.col("_full")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    short = F.floor((F.col("_t") - F.col("_coarse") * cell_ms) / CELL_MS)
+    fine = F.when(F.col("_full").isNotNull(), short).otherwise(F.lit(0))
+    joined = events.withColumn("_coarse", coarse).join(bounded_broadcast(crowded), same, "left")
+    return joined.withColumn("_cell", F.col("_coarse") * (1 << 20) + fine).drop("_coarse", "_full", *[f"_{c}" for c in by])
+
+
 def rate_window_audit(
     requests: DataFrame,
     max_requests: int = MAX_REQUESTS,
@@ -42,7 +59,8 @@ def rate_window_audit(
     window_ms: int = WINDOW_MS,
     burst_ms: int = BURST_MS,
     by: list[str] = ("site",),
-    cell_ms: int = CELL_MS,
+    cell_ms: int | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Requests in the window and in the burst span up to each request, with wait estimates.
 
@@ -50,9 +68,10 @@ def rate_window_audit(
     without a time are left out.
 
     Requests of one millisecond are one row first. Each such row comes into both spans at its time and leaves them a span
-    later; what is in a span is the sum of what came and left before. Sums run over cells of time: a
-    cell starts from the sums of all cells before it, one short row a cell, and holds at most three rows a millisecond,
-    whatever the traffic.
+    later; what is in a span is the sum of what came and left before. Sums run over cells of time, ``cell_ms`` long (by default
+    the burst span); a cell of more than ``cell_rows`` rows is cut into cells of ``CELL_MS``, which hold at most three rows a
+    millisecond. A cell starts from the sums of all cells before it, one short row a cell. So no task of the
+    sums has more rows than that, whatever the traffic.
     """
     by = list(by)
     timed = requests.filter(F.col("ms").isNotNull())
@@ -62,8 +81,8 @@ def rate_window_audit(
     moves += [F.struct((F.col("ms") + span).alias("t"), F.lit(name).alias("kind")) for name, span in spans]
     events = came.select(*by, "ms", "_n", F.explode(F.array(*moves)).alias("_e")).select(
         *by, "ms", "_n", F.col("_e.t").alias("_t"), F.col("_e.kind").alias("_kind"),
-        F.floor(F.col("_e.t") / cell_ms).alias("_cell"),
     )
+    events = _celled(events, by, cell_ms or max(CELL_MS, burst_ms), cell_rows)
 
     def of(kind: str, value: Column) -> Column:
         return F.when(F.col("_kind") == kind, value)
@@ -77,7 +96,7 @@ def rate_window_audit(
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
-        *by, "_cell", (F.col("_cell") * cell_ms).cast("bigint").alias("_t"), F.lit("start").alias("_kind"),
+        *by, "_cell", F.lit("start").alias("_kind"),
         *[
             F.coalesce(F.sum(F.coalesce("came", none) - F.coalesce(f"left_{name}", none)).over(before), none).alias(f"_in_{name}")
             for name, _ in spans
@@ -85,14 +104,16 @@ def rate_window_audit(
         *[F.last(f"first_{name}", ignorenulls=True).over(behind).alias(f"_next_{name}") for name, _ in spans],
     )
     rows = events.unionByName(starts, allowMissingColumns=True)
+    # One order serves all sums: what a cell holds up to a time is all it holds without what comes after.
     cell = Window.partitionBy(*by, "_cell")
-    up_to = cell.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
     after = cell.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
 
+    def up_to(kind: str) -> Column:
+        value = F.coalesce(of(kind, F.col("_n")), none)
+        return F.sum(value).over(cell) - F.coalesce(F.sum(value).over(after), none)
+
     def inside(name: str) -> Column:
-        return F.sum(of("start", F.col(f"_in_{name}"))).over(up_to) + F.coalesce(
-            F.sum(of("came", F.col("_n"))).over(up_to), none
-        ) - F.coalesce(F.sum(of(name, F.col("_n"))).over(up_to), none)
+        return F.max(f"_in_{name}").over(cell) + up_to("came") - up_to(name)
 
     def oldest(name: str) -> Column:
         """The first request that has not left: the next one to leave, in this cell or a later one."""

@@ -155,6 +155,28 @@ def test_route_by_url_both_ways(spark):
                 assert got[0][i] == site, (i, used, kind)
 
 
+def shape(page):
+    return page.text, list(zip(page.tags, page.attrs, page.parents, page.prevs, page.from_end, page.last, page.t0, page.t1, strict=True))
+
+
+def test_plain_markup_is_read_like_any_other():
+    """Patterns and the standard library's reader agree, also on markup that only one of them takes."""
+    rng = random.Random(6)
+    bits = [
+        "<p>", "<P CLASS='a b'>", "</p>", "<li>x", "<a href=\"/x?a=1&amp;b=2\" rel=next>", "</a >", "<br/>", "<img src='i.png' alt>",
+        "text &amp; more", "1 &lt; 2 &copy &bogus; &#233;", "<!-- c -->", "<!doctype html>", "<script>if (a<b) { x='</p>' }</script>",
+        "<script src=x></script>", "<style>p > a {}</style>", "<title>a &amp; b</title>", "<textarea>x</textarea>", "<div data-x=\"1 > 2\">",
+        "<a href=/x/>", "< p", "<", "<3", "<p =x>", "<p a=1 A=2>", "</", "</ p>", "<!-->", "<!--->", "<!-- a -- b -->", "<![CDATA[x]]>", "<?php x?>",
+        "<a title='a&b=1&copy=2'>", "<a title=\"it's\">", "<svg/>", "<x-y:z a:b='c'>", "<p\n class=a\t>", "é ü", "<p é='x'>", "\r\n", "</div>", "<table><tr><td>1",
+        "<option selected>o", "<SCRIPT>a</SCRIPT>", "<script/>", "<p class=\"a\"id=\"b\">", "<p class=\"\">",
+    ]
+    for _ in range(4000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 8)))
+        assert shape(ParsedPage(html)) == shape(ParsedPage(html, plain=False)), html
+    for html in bits:
+        assert shape(ParsedPage(html)) == shape(ParsedPage(html, plain=False)), html
+
+
 def fits(page, i, parts, marks):
     """A chain tested at one element by looking at all elements that its last combinator may mean."""
     tag, attrs, place = page.tags[i], page.attrs[i], page.from_end[i]

@@ -14,11 +14,11 @@ def log(spark, seed, n=400, span=40_000, sites=("a", "a", "a", "b")):
     return rows, spark.createDataFrame(rows, "id long, site string, ms long")
 
 
-@pytest.mark.parametrize("cell_ms", [70, 500, 1000, 7000, 10**9])
-def test_windows(spark, cell_ms):
+@pytest.mark.parametrize("cell_ms, cell_rows", [(70, 10**6), (1000, 10**6), (7000, 10**6), (10**9, 10**6), (40_000, 100), (60_000, 0)])
+def test_windows(spark, cell_ms, cell_rows):
     rows, df = log(spark, 1)
     got = rate.rate_window_audit(
-        df, max_requests=5, burst=2, window_ms=1000, burst_ms=200, cell_ms=cell_ms
+        df, max_requests=5, burst=2, window_ms=1000, burst_ms=200, cell_ms=cell_ms, cell_rows=cell_rows
     ).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -137,6 +137,16 @@ def test_windows_at_any_traffic(spark):
     assert got[3] == sum(90 * 90 * (k + 1) for k in range(10_000))
 
 
+def test_cells_are_bounded(spark):
+    """Nine tenths of the requests within one coarse cell: cells of at most 30,000 rows."""
+    rows = spark.range(90_000).select(F.lit("hot").alias("site"), (F.col("id") * 2).alias("_t")).unionAll(
+        spark.range(10_000).select(F.lit("calm").alias("site"), (F.col("id") * 1000).alias("_t"))
+    )
+    cells = rate._celled(rows, ["site"], 3_600_000, 30_000).groupBy("site", "_cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 30_000
+    assert cells.filter("site = 'calm'").count() == 3 and cells.filter("site = 'hot'").count() == 18
+
+
 def test_a_million_requests_in_one_millisecond(spark):
     requests = spark.range(1_000_000).select(F.lit("a").alias("site"), F.lit(5_000).cast("long").alias("ms"), "id").unionAll(
         spark.createDataFrame([("a", 5_001, -1), ("a", 9_000, -2), ("b", 5_000, -3)], "site string, ms long, id long")
