@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwright.llm.scratch import Scratch
+from shelfwright.llm.scratch import Scratch, tidied
 from shelfwright.llm.tokens import encode
 
 #: Rows of one length that are ranked together; more are ranked in several groups.
@@ -120,7 +120,7 @@ def pack(
     ]
     schema = T.StructType(fields)
     cut = _pieces(limit, end_id, with_ids, schema.names, (tokenizer_path, ranks_path))
-    pieces = scratch.save(source.mapInArrow(cut, schema).withColumn("seat", F.monotonically_increasing_id()), "pieces")
+    pieces = scratch.save(source.mapInArrow(tidied(cut), schema).withColumn("seat", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = best_fit(counts, limit)
     plan = spark.createDataFrame(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.llm import windows as W
-from shelfwright.llm.scratch import Scratch
+from shelfwright.llm.scratch import Scratch, tidied
 
 WIDTH = 4
 #: Window starts of one chunk; a chunk's bytes overlap the next one's by WIDTH - 1.
@@ -177,7 +177,7 @@ def learn(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(chosen), "id")  # at most `rows` rows of two numbers
         .select("quality", "text")
-        .mapInArrow(_spread_chunks(chunks), "quality int, chunks array<binary>")
+        .mapInArrow(tidied(_spread_chunks(chunks)), "quality int, chunks array<binary>")
     )
     found = sample.orderBy(F.xxhash64("chunks"), "quality").limit(rows).toPandas()
     return fit(

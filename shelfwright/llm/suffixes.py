@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwright.llm import windows as W
-from shelfwright.llm.scratch import Scratch, keyed_texts
+from shelfwright.llm.scratch import Scratch, keyed_texts, tidied
 
 Q = 64
 #: Windows of one cell at the middle level of refinement.
@@ -126,15 +126,15 @@ def _windows(size: int):
 def repeated_places(texts: DataFrame, scratch: Scratch, size: int, q: int) -> DataFrame:
     """(rid, th, place) of all windows of ``size`` bytes that start at two or more places; texts: (rid, th, text)."""
     rows = "bucket long, whole long, rid long, th long, place long"
-    anchors = scratch.save(texts.mapInArrow(_anchors(size, q), rows), "anchors")
+    anchors = scratch.save(texts.mapInArrow(tidied(_anchors(size, q)), rows), "anchors")
     kept, classes, open_ = W.repeated_classes(anchors, scratch, "runs")
     scratch.drop(anchors)
     lists = open_.groupBy("rid", "th").agg(F.collect_list("place").alias("places"))
     contexts = scratch.save(
-        texts.join(lists, ["rid", "th"]).mapInArrow(_contexts(size), f"{PLACES}, context binary"),
+        texts.join(lists, ["rid", "th"]).mapInArrow(tidied(_contexts(size)), f"{PLACES}, context binary"),
         "contexts",
     )
-    cells = scratch.save(contexts.mapInArrow(_cells(size, q), rows), "cells")
+    cells = scratch.save(contexts.mapInArrow(tidied(_cells(size, q)), rows), "cells")
     cells_kept, cell_classes, cells_open = W.repeated_classes(cells, scratch, "cells")
     scratch.drop(cells)
     inner = contexts.withColumn("anchor", W.anchor_of(F.col("place"))).join(
@@ -150,7 +150,7 @@ def repeated_places(texts: DataFrame, scratch: Scratch, size: int, q: int) -> Da
         )
     )
     single = scratch.save(
-        inner.select("rid", "th", "place", "inner", "context").mapInArrow(_windows(size), rows), "windows"
+        inner.select("rid", "th", "place", "inner", "context").mapInArrow(tidied(_windows(size)), rows), "windows"
     )
     again = scratch.save(
         single.groupBy("bucket", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again"
@@ -241,7 +241,7 @@ def remove_repeats(
         ]))),
         T.StructField("kept", T.BinaryType()),
     ])
-    return joined.mapInArrow(_cut(size, schema.names), schema)
+    return joined.mapInArrow(tidied(_cut(size, schema.names)), schema)
 
 
 def _whole_end(part: bytes) -> bytes:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from shelfwright.llm.scratch import Scratch
 
-#: Units handled at once; longer sequences are cut into overlapping pieces. A piece takes some 30 MB of arrays.
-PIECE = 1 << 18
+#: Units handled at once; longer sequences are cut into overlapping pieces. A piece takes some 15 MB of arrays.
+PIECE = 1 << 17
 _PLACE = np.uint64((1 << 22) - 1)
 _rng = np.random.default_rng(20240229)
 TABLES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
