@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfwright import constants as K
 from shelfwright.functions import js, text
 from shelfwright.operators import dedup, normalize, validate
+from shelfwright.operators.brands import infer_brands
 from shelfwright.plans.derive import (
     LINES_SQL, RAW_SQL, normalized_parts, order_products, raw_parts,
 )
@@ -576,6 +577,27 @@ def text_brand_and_sku(spark, sf):
     )
 
 
+@query(r"""
+WITH w AS (
+  SELECT p_name AS brand, min(p_partkey) * 2 AS pos FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name
+  UNION ALL SELECT word, min(p_partkey) * 2 + 1 FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word
+), n AS (SELECT p_partkey, 'The ' || p_name || '/' || p_type || ' x' || p_partkey AS name FROM part),
+hit AS (
+  SELECT p_partkey, min_by(brand, pos) AS brand FROM n JOIN w ON regexp_matches(upper(name), '\b' || upper(brand) || '\b') GROUP BY p_partkey
+)
+SELECT p_partkey, brand FROM n LEFT JOIN hit USING (p_partkey)
+""")
+def text_brand_table(spark, sf):
+    """Brands by a dictionary that is a table: names of parts, and the words they are made of."""
+    parts = table(spark, sf, "part")
+    whole = parts.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("brand")).agg((F.min("p_partkey") * 2).alias("pos"))
+    words = parts.select("p_partkey", F.explode(F.split("p_name", " ")).alias("brand"))
+    single = words.groupBy("brand").agg((F.min("p_partkey") * 2 + 1).alias("pos"))
+    name = F.concat(F.lit("The "), "p_name", F.lit("/"), "p_type", F.lit(" x"), F.col("p_partkey").cast("string"))
+    named = parts.select("p_partkey", name.alias("name"))
+    return infer_brands(named, whole.unionByName(single)).select("p_partkey", "brand")
+
+
 def _hits(patterns: str) -> str:
     return f"list_transform(regexp_extract_all(t, '(?i)\\b(?:{patterns})\\b'), lambda m: upper(m))"
 
