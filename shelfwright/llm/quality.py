@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwright.llm import windows as W
-from shelfwright.llm.scratch import Scratch, tidied
+from shelfwright.llm.scratch import Scratch
 
 WIDTH = 4
 #: Window starts of one chunk; a chunk's bytes overlap the next one's by WIDTH - 1.
 CHUNK = 252
 FILTERS = 8
-#: Bounds of what is fitted on: labelled rows, and chunks of each, spread evenly over the whole text.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 3000, 12
+#: Bounds of what is fitted on: labelled rows, and bytes of their texts together. Of a row in the sample the whole text counts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 24 << 20
 
 
 @dataclass
@@ -141,29 +140,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _spread_chunks(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = W.raw(batch.column("text"))
-            out = []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                count = -(-(e - s) // CHUNK)
-                picked = np.unique(np.linspace(0, count - 1, min(count, most)).astype(int)) if count else []
-                out.append([data[s + k * CHUNK : min(e, s + k * CHUNK + CHUNK + WIDTH - 1)].tobytes() for k in picked])
-            yield pa.record_batch(
-                [batch.column("quality"), pa.array(out, pa.list_(pa.binary()))], names=["quality", "chunks"]
-            )
-
-    return run
+def chunks_of(text: bytes) -> list[bytes]:
+    """All chunks of a text, each with the bytes it shares with the next one."""
+    return [text[k : k + CHUNK + WIDTH - 1] for k in range(0, len(text), CHUNK)]
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chunks: int = SAMPLE_CHUNKS,
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Network:
-    """A network fitted on at most ``rows`` labelled documents that are not held out, ``chunks`` chunks of each.
+    """A network fitted on whole texts of at most ``rows`` labelled documents that are not held out.
 
-    The rows are those with the smallest hash of their id. Null ids and labels are left out; an id labelled twice
+    The rows are those with the smallest hash of their id, and of these, by the hash of their text, as many as together have
+    at most ``most_bytes``; they are what the driver holds. Null ids and labels are left out; an id labelled twice
     counts once, with its smaller label. Without any labelled row the network gives every text the score 0.5.
     """
     chosen = (
@@ -174,15 +163,15 @@ def learn(
         .limit(rows)
     )
     sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "id")  # at most `rows` rows of two numbers
-        .select("quality", "text")
-        .mapInArrow(tidied(_spread_chunks(chunks)), "quality int, chunks array<binary>")
-    )
-    found = sample.orderBy(F.xxhash64("chunks"), "quality").limit(rows).toPandas()
-    return fit(
-        [[bytes(c) for c in cs] for cs in found["chunks"]], found["quality"].to_numpy(dtype=np.float64)
+        .select("quality", "text", F.xxhash64("text").alias("place"))
+        .orderBy("place", "quality", "text").limit(rows)
     )
+    before = Window.orderBy("place", "quality", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= most_bytes)
+    found = sized.select("quality", "text").collect()  # bounded by both parameters
+    return fit([chunks_of(r["text"].encode()) for r in found], np.array([r["quality"] for r in found], dtype=np.float64))
 
 
 def scorer(network: Network):

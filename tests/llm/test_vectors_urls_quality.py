@@ -128,3 +128,52 @@ def test_every_byte_is_pooled():
     data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0] + [len(t) for t in texts])
     top, _ = quality.pooled(data, offsets, network)
     assert [bool(t[0] > 0) for t in top] == [b"!@!@" in t for t in texts]
+
+
+def plain_pool(text, network):
+    """Each filter at each window of each chunk, one after another; bytes beyond the text are zero."""
+    tops, sums, n = [0.0] * quality.FILTERS, [0.0] * quality.FILTERS, 0
+    for start in range(0, len(text), quality.CHUNK):
+        n += 1
+        for f in range(quality.FILTERS):
+            best = 0.0
+            for at in range(start, min(start + quality.CHUNK, len(text))):
+                window = text[at : at + quality.WIDTH].ljust(quality.WIDTH, bytes(1))
+                value = network.bias[f] + sum(network.filters[p, f, b] for p, b in enumerate(window))
+                best = max(best, value)
+            tops[f] = max(tops[f], best)
+            sums[f] += best
+    return tops, [x / max(1, n) for x in sums]
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    network = quality.Network(
+        rng.normal(0, 0.5, (quality.WIDTH, quality.FILTERS, 256)), rng.normal(0, 0.5, quality.FILTERS),
+        rng.normal(0, 0.3, quality.FILTERS), rng.normal(0, 0.3, quality.FILTERS), 0.2,
+    )
+    sizes = [0, 1, 3, 4, 5, 251, 252, 253, 255, 256, 504, 505, 3000, 20_011]
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)).decode() for n in sizes] + ["é" * 300, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(1)
+    got = {r.id: r.score for r in df.select("id", quality.scorer(network)(F.col("text")).alias("score")).collect()}
+    for i, text in enumerate(texts):
+        top, mean = plain_pool((text or "").encode(), network)
+        logit = sum(a * b for a, b in zip(top, network.top, strict=True)) + sum(a * b for a, b in zip(mean, network.mean, strict=True)) + 0.2
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-4, i
+
+
+def test_chunks_cover_the_whole_text():
+    for n in (0, 1, 252, 253, 5000):
+        text = bytes(i % 251 for i in range(n))
+        chunks = quality.chunks_of(text)
+        assert b"".join(c[: quality.CHUNK] for c in chunks) == text and len(chunks) == -(-n // quality.CHUNK)
+
+
+def test_fit_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda chunks, labels: seen.append((chunks, labels)))
+    docs = spark.createDataFrame([(i, "x" * 1000 + str(i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    quality.learn(docs, labels, rows=10)
+    quality.learn(docs, labels, most_bytes=5_100)
+    assert [len(c) for c, _ in seen] == [10, 5] and all(len(x) == 4 for c, _ in seen for x in c)
