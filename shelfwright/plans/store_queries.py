@@ -67,19 +67,21 @@ def rich_products(spark, sf):
 
 
 @query("""
-SELECT 'acme-O-' || o_orderkey AS id, 'Order ' || o_orderkey AS name, 'O-' || o_orderkey AS sku,
-  o_totalprice AS regular_price, CAST(NULL AS DOUBLE) AS sale_price, CAST(NULL AS INT) AS quantity,
-  true AS in_stock, 'in_stock' AS stock_status, 'CE;DOT' AS certifications, 'acme' AS site,
+SELECT 'acme-O-' || o_orderkey AS id, 'Order ' || o_orderkey AS name, 'Acme' AS brand, 'O-' || o_orderkey AS sku,
+  'uncategorized' AS category, CAST(NULL AS VARCHAR) AS subcategory,
+  o_totalprice AS regular_price, CAST(NULL AS DOUBLE) AS sale_price, 'AUD' AS currency, CAST(NULL AS INT) AS discount_percentage,
+  true AS in_stock, 'in_stock' AS stock_status, CAST(NULL AS INT) AS quantity, CAST(NULL AS VARCHAR) AS short_description,
+  CAST(NULL AS VARCHAR) AS full_description, 'CE;DOT' AS certifications, CAST(NULL AS BOOLEAN) AS compliance_adr,
+  '' AS compliance_standards, '' AS vehicle_types, '' AS makes, '' AS models, 'acme' AS site, '' AS source_url,
+  CAST(0.6 AS DOUBLE) AS quality_score,
   strftime(to_timestamp(1736935200 + o_orderkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS scraped_at
 FROM orders
 """)
 def tables_products(spark, sf):
     products = relational.to_relational(rich_products(spark, sf))["products"]
-    return products.select(
-        "id", "name", "sku", "regular_price", "sale_price", "quantity", "in_stock", "stock_status",
-        F.array_join("certifications", ";").alias("certifications"), "site",
-        js.iso_utc(F.col("scraped_at")).alias("scraped_at"),
-    )
+    lists = ["certifications", "compliance_standards", "vehicle_types", "makes", "models"]
+    shown = {c: F.array_join(c, ";") for c in lists} | {"scraped_at": js.iso_utc(F.col("scraped_at"))}
+    return products.select(*[shown.get(c, F.col(c)).alias(c) for c in products.columns])
 
 
 @query("""
@@ -103,17 +105,14 @@ def tables_specifications(spark, sf):
 
 @query(f"""
 WITH {LINES_SQL}
-SELECT 'variant-' || pos AS id, 'acme-O-' || o_orderkey AS product_id, name, type, value,
-  regular AS regular_price, in_stock, stock_status,
+SELECT 'variant-' || pos AS id, 'acme-O-' || o_orderkey AS product_id, name, CAST(NULL AS VARCHAR) AS sku, type, value,
+  regular AS regular_price, CAST(NULL AS DOUBLE) AS sale_price, 'AUD' AS currency, CAST(NULL AS INT) AS discount_percentage,
+  in_stock, stock_status,
   CASE WHEN quantity > 0 THEN CAST(quantity AS INT) END AS quantity
 FROM variants
 """)
 def tables_variants(spark, sf):
-    variants = relational.to_relational(rich_products(spark, sf))["product_variants"]
-    return variants.select(
-        "id", "product_id", "name", "type", "value", "regular_price", "in_stock", "stock_status",
-        "quantity",
-    )
+    return relational.to_relational(rich_products(spark, sf))["product_variants"]
 
 
 @query(f"""
@@ -213,37 +212,44 @@ def tables_upsert(spark, sf):
     )
 
 
-_FLAT_SQL = """
-SELECT id, full_name AS name, coalesce(sku, '') AS sku,
-  regexp_replace(regexp_replace(printf('%.6f', p_retailprice), '0+$', ''), '\\.$', '') AS regular_price,
-  coalesce(regexp_replace(regexp_replace(printf('%.6f', sale), '0+$', ''), '\\.$', ''), '') AS sale_price,
-  '0' AS quantity, CAST(in_stock AS VARCHAR) AS in_stock, full_text AS full_description,
-  '2025-01-15T10:00:00.000Z' AS scraped_at,
-  regexp_replace(regexp_replace(printf('%.6f', score), '0+$', ''), '\\.$', '') AS quality_score,
+def _money(c: str) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.6f', {c}), '0+$', ''), '\\.$', '')"
+
+
+_FLAT_SQL = f"""
+SELECT id, full_name AS name, full_brand AS brand, coalesce(sku, '') AS sku, full_category AS category, '' AS subcategory,
+  {_money("p_retailprice")} AS regular_price, coalesce({_money("sale")}, '') AS sale_price, 'AUD' AS currency,
+  '' AS discount_percentage, CAST(in_stock AS VARCHAR) AS in_stock, stock_status, '0' AS quantity,
+  CASE WHEN length(full_text) > 150 THEN substr(full_text, 1, 150) || '...' ELSE full_text END AS short_description,
+  full_text AS full_description, '' AS specifications, '' AS certifications, '' AS compliance_adr, '' AS compliance_standards,
+  '' AS vehicle_types, '' AS makes, '' AS models, 'acme' AS site, source_url,
+  '2025-01-15T10:00:00.000Z' AS scraped_at, {_money("score")} AS quality_score,
   coalesce(array_to_string(list_filter(images, lambda x: trim(x) <> ''), '; '), '') AS images
 FROM norm
-""".replace("\\\\", "\\")
-_FLAT = [
-    "id", "name", "sku", "regular_price", "sale_price", "quantity", "in_stock", "full_description",
-    "scraped_at", "quality_score", "images",
-]
+"""
 
 
 @query(f"WITH {RAW_SQL} {_FLAT_SQL}")
 def csv_flat(spark, sf):
-    return relational.flatten_for_csv(normalized_parts(spark, sf)).select(*_FLAT)
+    return relational.flatten_for_csv(normalized_parts(spark, sf))
 
 
 @query(f"""
 WITH {LINES_SQL}
-SELECT 'acme-O-' || o_orderkey AS id, coalesce(v.id, '') AS variant_id, coalesce(v.name, '') AS variant_name,
-  coalesce(v.type, '') AS variant_type, coalesce(CAST(v.in_stock AS VARCHAR), '') AS variant_in_stock
+SELECT 'acme-O-' || o_orderkey AS id, 'Order ' || o_orderkey AS name, 'Acme' AS brand, 'O-' || o_orderkey AS sku,
+  'uncategorized' AS category, '' AS subcategory, {_money("o_totalprice")} AS regular_price, '' AS sale_price, 'AUD' AS currency,
+  '' AS discount_percentage, 'true' AS in_stock, 'in_stock' AS stock_status, '0' AS quantity, '' AS short_description,
+  '' AS full_description, '' AS specifications, '' AS certifications, '' AS compliance_adr, '' AS compliance_standards,
+  '' AS vehicle_types, '' AS makes, '' AS models, 'acme' AS site, '' AS source_url,
+  '2025-01-15T10:00:00.000Z' AS scraped_at, '0.6' AS quality_score, '' AS images,
+  coalesce(v.id, '') AS variant_id, coalesce(v.name, '') AS variant_name, coalesce(v.type, '') AS variant_type,
+  coalesce(v.value, '') AS variant_value, '' AS variant_sku, coalesce({_money("v.regular")}, '') AS variant_regular_price,
+  '' AS variant_sale_price, coalesce(CAST(v.in_stock AS VARCHAR), '') AS variant_in_stock,
+  coalesce(v.stock_status, '') AS variant_stock_status, '' AS variant_images
 FROM orders LEFT JOIN variants v USING (o_orderkey)
 """)
 def csv_flat_variants(spark, sf):
-    return relational.flatten_for_csv(order_products(spark, sf), include_variants=True).select(
-        "id", "variant_id", "variant_name", "variant_type", "variant_in_stock"
-    )
+    return relational.flatten_for_csv(order_products(spark, sf), include_variants=True)
 
 
 @query(f"WITH {RAW_SQL} {_FLAT_SQL}")
@@ -252,13 +258,15 @@ def csv_files(spark, sf):
     path = scratch(spark, "csv")
     files.write_products_csv(normalized_parts(spark, sf), path)
     back = spark.read.option("header", True).option("escape", '"').option("nullValue", "\0").csv(path)
-    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _FLAT])
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
 
 
 @query(f"""
 WITH {RAW_SQL}
-SELECT id, full_name AS name, p_retailprice AS regular, sale,
-  '2025-01-15T10:00:00.000Z' AS scraped_at FROM norm
+SELECT id, full_name AS name, full_brand AS brand, sku, full_category AS category, p_retailprice AS regular, sale,
+  'AUD' AS currency, in_stock, stock_status, full_text,
+  coalesce(array_to_string(list_filter(images, lambda x: trim(x) <> ''), '; '), '') AS images, 'acme' AS site, source_url,
+  CAST(score AS DOUBLE) AS score, '2025-01-15T10:00:00.000Z' AS scraped_at FROM norm
 """)
 def json_files(spark, sf):
     """Written as JSON lines and read back; a missing path adds nothing."""
@@ -267,7 +275,9 @@ def json_files(spark, sf):
     back = files.read_products_json(spark, path, array_file=False)
     nothing = files.read_products_json(spark, path + "-missing")
     return back.unionByName(nothing).select(
-        "id", "name", "price.regular", "price.sale",
+        "id", "name", "brand", "sku", "category", "price.regular", "price.sale", "price.currency", "availability.in_stock",
+        "availability.stock_status", F.col("description.full").alias("full_text"), F.array_join("images", "; ").alias("images"),
+        "metadata.site", "metadata.source_url", F.col("metadata.scrape_quality_score").alias("score"),
         js.iso_utc(F.col("metadata.scraped_at")).alias("scraped_at"),
     )
 
