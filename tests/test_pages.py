@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import nodes
 from shelfwright.functions.selectors import Automaton, filled, has_slot, slot
+from shelfwright.operators import html
 from shelfwright.operators import pages as ops
 from shelfwright.operators.html import ParsedPage, parse_pages
 
@@ -177,6 +178,35 @@ def test_plain_markup_is_read_like_any_other():
         assert shape(ParsedPage(html)) == shape(ParsedPage(html, plain=False)), html
 
 
+def test_equal_tags_are_taken_apart_and_tested_once(monkeypatch):
+    """Many pages of one design: the work on a tag is done for its first page."""
+    taken, tested = [], []
+    values, tests = html._values, Automaton.tests
+    monkeypatch.setattr(html, "_values", lambda written: taken.append(written) or values(written))
+    monkeypatch.setattr(Automaton, "tests", lambda self, tag, attrs: tested.append(tag) or tests(self, tag, attrs))
+    automaton = Automaton([".box-once a", "b", ".box-once > b:last-child"])
+    page = "<div class='box-once'><a class='once'>x</a><b>1</b><b>2</b></div>" * 5
+    for _ in range(20):
+        assert automaton.hits(ParsedPage(page)) == [
+            [4 * k + 1 for k in range(5)], [i for k in range(5) for i in (4 * k + 2, 4 * k + 3)], [4 * k + 3 for k in range(5)]
+        ]
+    assert len(taken) == 2 and sorted(tested) == ["a", "b", "div"]
+
+
+def test_hits_of_many_pages_at_once():
+    """Pages without elements or hits, repeated hits, and siblings on either side, as one column."""
+    made = ["<b>1</b><i>2</i><b>3</b>", "", "<p>x</p>", None, "<i class='x' id='y'>4</i>"]
+    automaton = Automaton(["b", "i, .x", "b, i"])
+    pages = [ParsedPage(m) for m in made]
+    got = html._hits_of(pages, [automaton.found(p) for p in pages]).to_pylist()
+    assert [[[h["i"] for h in hits] for hits in page] for page in got] == [automaton.hits(p) for p in pages]
+    first = got[0][1][0]
+    assert {k: first[k] for k in ("last", "t0", "t1", "p0", "p1", "n0", "n1")} == {
+        "last": 1, "t0": 1, "t1": 2, "p0": 0, "p1": 1, "n0": 2, "n1": 3
+    }
+    assert got[4][1][0]["attrs"] == [("class", "x"), ("id", "y")] and got[4][1][0]["p0"] is None and got[4][1][0]["n1"] is None
+
+
 def fits(page, i, parts, marks):
     """A chain tested at one element by looking at all elements that its last combinator may mean."""
     tag, attrs, place = page.tags[i], page.attrs[i], page.from_end[i]
