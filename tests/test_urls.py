@@ -128,6 +128,31 @@ def test_page_href(value, href, want):
     assert value(urls.page_href, p="https://e.com/a/b?p=1#s", h=href) == want
 
 
+def test_addresses_in_normal_form_take_the_short_way(spark):
+    """What the short patterns let through is what the general rules leave as it is."""
+    links = [
+        "https://e.com/x", "http://e.com:80/x", "https://E.com/x", "https://e.com/a//b", "https://e.com/a/../b", "https://e.com/a/.", "https://e.com/.a?x=/../",
+        "https://e.com/a b", "https://e.com/ü", "https://e.com/a\\b", "https://e.com/a?b=\\", "https://e.com", "https://e.com/%zz", "https://e%.com/", "/x?y#z", "x/./y",
+        "https://e.com/a#/../b", "https://e.com/x\n", "https://e.com//a://b//c", "HTTP://e.com/x?utm_source=a&b=1", "https://e.com/x?b=1//2",
+    ]
+    pages = ["https://e.com/a/b?p=1#s", "HTTPS://E.com:443/a/b", "/a/b", "https://e.com/a/../b/", "https://u@e.com/a", None]
+    df = spark.createDataFrame([(p, h) for p in pages for h in links], "p string, h string")
+    p, h = F.col("p"), F.col("h")
+    r = urls.page_href(p, h)
+    folder = F.regexp_extract(urls.url_path(p), "(?s)^(.*/)", 1)
+    general = urls.page_address(p)
+    slow = F.array_join(F.transform(F.split(h, "://"), lambda x: F.regexp_replace(x, "/{2,}", "/")), "://")
+    for row in df.select(
+        "p", "h", r.alias("r"), F.coalesce(urls.web_href(r), r).alias("w"), general["origin"].alias("o"), urls.url_origin(p).alias("o2"),
+        general["path"].alias("q"), urls.url_path(p).alias("q2"), general["protocol"].alias("s"), urls.url_protocol(p).alias("s2"),
+        general["folder"].alias("f"), F.when(folder == "", F.lit("/")).otherwise(folder).alias("f2"),
+        urls.single_slashes(h).alias("t"), slow.alias("t2"),
+        (h.rlike(urls._NORMAL) & (urls.strip_tracking(slow) != h)).alias("bad"), (h.rlike(urls._PLAIN_WEB) & ~urls.web_href(h).eqNullSafe(h)).alias("bad2"),
+    ).collect():
+        assert (row.r, row.o, row.q, row.s, row.f, row.t) == (row.w, row.o2, row.q2, row.s2, row.f2, row.t2), row
+        assert not row.bad and not row.bad2, row
+
+
 def test_join(value):
     for base, path, want in [
         ("https://e.com/", "/x", "https://e.com/x"), ("https://e.com", "x", "https://e.com/x"),
