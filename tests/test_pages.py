@@ -13,6 +13,7 @@ from shelfwright.functions.selectors import Automaton, filled, has_slot, slot
 from shelfwright.operators import html
 from shelfwright.operators import pages as ops
 from shelfwright.operators.html import ParsedPage, parse_pages
+from shelfwright.plans.catalogue import QUERIES
 
 NOW = datetime.datetime(2025, 1, 15, 10, 0)
 CONFIGS = [
@@ -193,6 +194,19 @@ def test_equal_tags_are_taken_apart_and_tested_once(monkeypatch):
     assert len(taken) == 2 and sorted(tested) == ["a", "b", "div"]
 
 
+def test_summaries_of_a_page_are_made_once(spark, tmp_path):
+    """No filter of the plan makes them again; pages without summaries add no rows."""
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double"
+    lines = [(k, n, 10 * k + n, 1, 5.5 + n, 1.0) for k in (0, 1, 2) for n in (1, 2)]
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["listing_summaries_unlimited"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+    assert sorted((r.key, r.name, r.regular, r.n) for r in found.collect()) == [
+        (k, f"Part {10 * k + n}", 5.5 + n, 1) for k in (1, 2) for n in (1, 2)
+    ]
+
+
 def test_hits_of_many_pages_at_once():
     """Pages without elements or hits, repeated hits, and siblings on either side, as one column."""
     made = ["<b>1</b><i>2</i><b>3</b>", "", "<p>x</p>", None, "<i class='x' id='y'>4</i>"]
