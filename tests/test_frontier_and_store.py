@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.operators import dedup, frontier, images, monitor, relational
+from shelfwright.plans import derive
 from shelfwright import schemas
 from shelfwright.sources import logs, products, sites
 from shelfwright.sources.store import ProductStore
@@ -174,6 +175,29 @@ def test_reading_the_store_needs_no_shuffle(spark, tmp_path):
         assert "Exchange hashpartitioning" not in plan, plan
 
 
+def test_lines_of_orders_in_their_order(spark, tmp_path):
+    """Lines that agree in all numbers go by the texts of their variants, an absent text first; some orders have none."""
+    lines = [(n, 1, 7, 8, 2.0, 10.5, 0.05, flag, status) for n in (4, 5) for flag in ("R", "A", None, "N") for status in ("O", None, "F")]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, f"{names}, l_tax double, l_returnflag string, l_linestatus string").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    orders = [(n, 1.0, "O") for n in (4, 5, 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    got = {r["o_orderkey"]: r["variants"] for r in derive.raw_orders(spark, str(tmp_path), every=4).collect()}
+    assert set(got) == {4, 8} and got[8] is None and len(got[4]) == 12
+    key = lambda v: [(x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in v]
+    assert [tuple(v) for v in got[4]] == sorted((tuple(v) for v in got[4]), key=key)
+    want = {
+        (None, f and f == "A" and "Line 1" or None, "$10.50", "C1" if s == "O" else None, "S1" if f == "R" else None, "P7",
+         2.0 if f in ("R", "A") else None, None if s is None else s == "O")
+        for *_, f, s in lines
+    }
+    assert {tuple(v) for v in got[4]} == want
+
+
 def test_layers_are_merged(spark, tmp_path):
     store = ProductStore(spark, str(tmp_path / "t"), buckets=2, most_layers=3)
     for n in range(6):
