@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,32 +62,65 @@ class ProductStore:
         finally:
             stream.close()
 
+    def _known(self, name: str) -> str:
+        return f"store_{hashlib.md5(self.root.encode()).hexdigest()[:16]}_{name}"
+
     def _table(self, name: str) -> str:
         """The table in the session's catalogue, made anew over its files, as other sessions may have added to them."""
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schemas[name].fields)
-        known = f"store_{hashlib.md5(self.root.encode()).hexdigest()[:16]}_{name}"
+        known = self._known(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {known}")
         self.spark.sql(
             f"CREATE TABLE {known} ({schema}, run BIGINT) USING parquet PARTITIONED BY (run)"
-            f" CLUSTERED BY ({KEYS[name]}) SORTED BY ({KEYS[name]}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'"
+            f" CLUSTERED BY ({KEYS[name]}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'"
         )
         fs, folder = self._folder(f"{self.root}/{name}")
         if fs.exists(folder):
             self.spark.catalog.recoverPartitions(known)
         return known
 
-    def _write(self, tables: dict[str, DataFrame], run: int) -> None:
-        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    @contextmanager
+    def _settings(self, **values: str):
+        """Settings of the session while a step runs."""
+        names = {key: f"spark.sql.{key.replace('__', '.')}" for key in values}
+        before = {key: self.spark.conf.get(name) for key, name in names.items()}
         try:
-            for name, table in tables.items():
-                key = KEYS[name]
-                known = self._table(name)
-                # one file a bucket, which the rows reach by the hash that buckets go by
-                dealt = table.withColumn("run", F.lit(run).cast("long")).repartition(self.buckets, key)
-                dealt.write.insertInto(known, overwrite=True)
+            for key, name in names.items():
+                self.spark.conf.set(name, values[key])
+            yield
         finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+            for key, name in names.items():
+                self.spark.conf.set(name, before[key])
+
+    def _write(self, tables: dict[str, DataFrame], run: int) -> None:
+        """A layer; a task of the tables given holds the rows of one bucket, in order, and writes them as they come."""
+        for name, table in tables.items():
+            known = self._table(name)
+            with self._settings(
+                sources__partitionOverwriteMode="dynamic",
+                sources__bucketing__autoBucketedScan__enabled="false",
+                maxConcurrentOutputFileWriters="8",
+            ):
+                table.withColumn("run", F.lit(run).cast("long")).write.insertInto(known, overwrite=True)
+
+    def _batch(self, products: DataFrame, order: str | None, path: str) -> DataFrame:
+        """The last product of each id, stored in the buckets of the tables, in order of ids.
+
+        The shuffle that finds the last ones deals the rows to the buckets, so the tables are cut without another.
+        """
+        known = self._known("batch")
+        fields = [f for f in products.schema.fields if f.name in schemas.PRODUCT.names]
+        latest = latest_products(products, order).select(*[f.name for f in fields])
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            latest = latest.repartition(self.buckets, "id").sortWithinPartitions("id")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+        self.spark.sql(
+            f"CREATE TABLE {known} ({schema}) USING parquet CLUSTERED BY (id) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+        with self._settings(adaptive__coalescePartitions__enabled="false", maxConcurrentOutputFileWriters="8"):
+            latest.write.insertInto(known, overwrite=True)
+        return self.spark.table(known)
 
     def _mark(self, run: int, layers: list[int]) -> None:
         fs, marker = self._folder(f"{self.root}/ready-{run}")
@@ -109,11 +143,10 @@ class ProductStore:
         """
         run = self.run + 1
         batch = f"{self.root}/batch-{run}"
-        latest_products(products, order).write.mode("overwrite").parquet(batch)
-        stored = self.spark.read.parquet(batch)
         try:
-            self._write(to_relational(stored), run)
+            self._write(to_relational(self._batch(products, order, batch)), run)
         finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._known('batch')}")
             fs, path = self._folder(batch)
             fs.delete(path, True)
         self._mark(run, [*self.layers, run])
@@ -123,7 +156,8 @@ class ProductStore:
     def merge(self) -> None:
         """Write what the layers hold now as one layer; a read of it has nothing to choose."""
         run = self.run + 1
-        self._write(self.read() or {}, run)
+        tables = (self.read() or {}).items()
+        self._write({n: t.repartition(self.buckets, KEYS[n]).sortWithinPartitions(KEYS[n]) for n, t in tables}, run)
         self._mark(run, [run])
 
     def read(self) -> dict[str, DataFrame] | None:

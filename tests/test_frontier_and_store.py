@@ -175,6 +175,24 @@ def test_reading_the_store_needs_no_shuffle(spark, tmp_path):
         assert "Exchange hashpartitioning" not in plan, plan
 
 
+def test_a_run_shuffles_its_products_once(spark, tmp_path):
+    """One shuffle finds the last of each id and deals the buckets; each of the five tables is then one stage."""
+    store = ProductStore(spark, str(tmp_path / "t"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.sparkContext.setJobGroup("one run", "")
+    try:
+        store.add(_store_products(spark, 0, 500, "x ").union(_store_products(spark, 100, 200, "y ")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(n) for n in tracker.getJobIdsForGroup("one run")]
+    assert 0 < len({s for job in jobs for s in job.stageIds}) <= 8
+    for name in ("products", "product_images", "product_variants"):
+        files = [f.name for f in (tmp_path / "t" / name / "run=1").glob("*.parquet")]
+        assert 0 < len(files) <= store.buckets
+    got = {r["id"]: r["name"] for r in relational.from_relational(store.read()).collect()}
+    assert got == {str(i): f"{'y' if 100 <= i < 200 else 'x'} {i}" for i in range(500)}
+
+
 def test_lines_of_orders_in_their_order(spark, tmp_path):
     """Lines that agree in all numbers go by the texts of their variants, an absent text first; some orders have none."""
     lines = [(n, 1, 7, 8, 2.0, 10.5, 0.05, flag, status) for n in (4, 5) for flag in ("R", "A", None, "N") for status in ("O", None, "F")]
