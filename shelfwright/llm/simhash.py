@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.llm.components import components, local_roots
 from shelfwright.llm.groups import whole_groups
-from shelfwright.llm.scratch import Scratch, task_count
+from shelfwright.llm.scratch import Scratch, task_count, tidied
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text_col: str, *keep: Column, words: int = 4)
     """The kept columns and ``fp``, the fingerprint as a signed long; a null text has no words."""
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("simhash_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_fingerprints(words), ", ".join([*fields, "fp long"]))
+    return rows.mapInArrow(tidied(_fingerprints(words)), ", ".join([*fields, "fp long"]))
 
 
 def _bit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def link(prints: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
     return (
         dealt.repartition(task_count(prints.sparkSession), *keys)
         .sortWithinPartitions(*keys)
-        .mapInArrow(_near(distance), "u long, v long")
+        .mapInArrow(tidied(_near(distance)), "u long, v long")
     )
 
 

@@ -40,6 +40,30 @@ def test_copies_with_edited_words(spark):
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1]
 
 
+def test_links_of_both_methods(spark):
+    """Texts of one fingerprint but few common shingles, near ones far in SimHash, and a group that takes both to connect."""
+    rng = random.Random(5)
+    tail = [" ".join(f"{k}{rng.random()}" for _ in range(60)) for k in "abc"]
+    base = [f"w{i}" for i in range(140)]
+    rows = [(9, "spam " * 900 + tail[0]), (7, "spam " * 900 + tail[1]), (8, "Spam " * 900 + tail[2])]
+    rows += [(None, "SPAM " * 900 + tail[2]), (3, " ".join(base)), (2, edited(rng, base, 2)), (4, "alone"), (5, None), (6, "")]
+    chain = [f"c{i}" for i in range(80)]
+    rows += [(10, " ".join(["x"] * 1200 + chain)), (11, " ".join(chain)), (12, "x " * 1200 + "z")]
+    prints = [brute.simhash(t) for _, t in rows]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if (prints[i] ^ prints[j]).bit_count() <= 4 or similar(sets[i], sets[j])
+    ]
+    assert any(not similar(sets[i], sets[j]) for i, j in links)
+    assert any((prints[i] ^ prints[j]).bit_count() > 4 for i, j in links)
+    roots = brute.find_roots(range(len(rows)), links)
+    groups = [[r[0] for k, r in enumerate(rows) if roots[k] == root] for root in set(roots.values())]
+    want = sorted(min(x for x in g if x is not None) for g in groups)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == want
+
+
 def test_representatives_against_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     bases = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (3, 5, 6, 30, 70, 140, 300, 900)]
