@@ -1,6 +1,9 @@
 """SentencePiece ids against the library, and the way back."""
 
+import random
+
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from shelfwright.llm import pieces, queries
@@ -35,3 +38,27 @@ def test_odd_texts(spark):
     assert got == sorted((-1 if i is None else i, model.encode(t or "")) for i, t, _, _ in rows)
     assert sorted(r.text for r in pieces.decode(coded).collect()) == sorted(t or "" for t in texts)
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parts_of_texts(monkeypatch):
+    """Parts of a few characters, words at the fold's width, runs of spaces and marks: ids of the library, and the bytes back."""
+    rng = random.Random(4)
+    model, path = library(), public_tokenizers.path(pieces.MODEL)
+    letters = ["a", "e", "t", "s", "the", "ing", "tion", " ", " ", "  ", "▁", "é", "日", "😀", "\n", "0", "xyz" * 25, "q" * 61, "w" * 62]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(300)]
+    texts = [None, "", " ", "▁ ▁", *texts, "z" * 400 + " " + "é " * 90]
+    for size in (1, 50, 1 << 20):
+        monkeypatch.setattr(pieces, "CHUNK_CHARS", size)
+        coded = pieces.encode_batch(pa.array(texts), path)
+        assert coded.to_pylist() == [model.encode(t or "") for t in texts]
+    want = [(" " + t.replace("▁", " ")).encode() if t else b"" for t in texts]
+    assert pieces.decode_batch(coded, path).to_pylist() == want
+    assert pieces.decode_batch(coded[3:9], path).to_pylist() == want[3:9]
+    assert pieces.encode_batch(pa.array([], pa.string()), path).to_pylist() == []
+    assert pieces.decode_batch(pa.array([None, [5, None, -1, 1 << 30]], pa.list_(pa.int32())), path).to_pylist()[0] == b""
+
+
+def test_nothing_is_shuffled(spark):
+    coded = pieces.encode(spark.read.parquet(f"{SF}/documents.parquet"))
+    for made in (coded, pieces.decode(coded)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
